@@ -22,8 +22,12 @@ from pyspark.sql import types as T
 
 from tideline.llm.scratch import fresh_path, materialise
 
-STORE = "spark.sql.streaming.stateStore.providerClass"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Settings of the state: in RocksDB, without space set aside for each partition, with changes instead of whole copies as checkpoints.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 #: Hits up to this number (16 bytes each) are sent to every executor; beyond, the texts are joined by a shuffle.
 BROADCAST_HITS = 500_000
 
@@ -65,13 +69,15 @@ def stream_state(spark: SparkSession, stream: DataFrame, digest: Callable[[Colum
     flat = fingerprints(stream, digest, file)
     at = _run(flat, spark, "fingerprints")
     prints = spark.read.schema(flat.schema).parquet(at)
-    before = spark.conf.get(STORE, None)
-    spark.conf.set(STORE, ROCKS)
+    before = {k: spark.conf.get(k, None) for k in STORE}
+    for k, v in STORE.items():
+        spark.conf.set(k, v)
     try:
         grouped = keepers(spark.readStream.schema(flat.schema).parquet(at))
         held = _run(grouped, spark, "state", lambda b, n, out: b.write.mode("overwrite").parquet(f"{out}/pass={n}"))
     finally:
-        spark.conf.set(STORE, before) if before else spark.conf.unset(STORE)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     schema = T.StructType([*grouped.schema.fields, T.StructField("pass", T.IntegerType())])
     updates = spark.read.schema(schema).parquet(held) if _exists(spark, held) else spark.createDataFrame([], schema)
     # Each pass wrote the digests that it changed; the last one holds.
