@@ -65,9 +65,12 @@ def keepers(prints: DataFrame) -> DataFrame:
 
 
 def stream_state(spark: SparkSession, stream: DataFrame, digest: Callable[[Column], Column] = sha256, file: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """Run both queries over the stream; its fingerprints, and the last state of each digest."""
+    """Pass all documents that the stream holds now; their fingerprints, and the last state of each digest. A table passes, too."""
     flat = fingerprints(stream, digest, file)
-    at = _run(flat, spark, "fingerprints")
+    if stream.isStreaming:
+        at = _run(flat, spark, "fingerprints")
+    else:
+        flat.write.parquet(at := fresh_path(spark, "fingerprints"))
     prints = spark.read.schema(flat.schema).parquet(at)
     before = {k: spark.conf.get(k, None) for k in STORE}
     for k, v in STORE.items():
@@ -90,11 +93,15 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
-def deduplicate(spark: SparkSession, docs: DataFrame, path: str, digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, digest, n_chars, check of each row. path: the Parquet that docs is read from."""
-    # As a pattern, since a stream takes no bare file.
-    stream = spark.readStream.schema(docs.select("doc_id", "text").schema).parquet(f"{path[:-1]}[{path[-1]}]")
-    prints, state = stream_state(spark, stream, digest, F.col("_metadata.file_path"))
+def deduplicate(spark: SparkSession, docs: DataFrame, path: str | None = None, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, digest, n_chars, keep_file of each row. path: the Parquet that docs is read from; without
+    it, docs is fingerprinted as a table and the fingerprints pass as a stream."""
+    if path is None:
+        prints, state = stream_state(spark, docs, digest, F.input_file_name())
+    else:
+        # As a pattern, since a stream takes no bare file.
+        stream = spark.readStream.schema(docs.select("doc_id", "text").schema).parquet(f"{path[:-1]}[{path[-1]}]")
+        prints, state = stream_state(spark, stream, digest, F.col("_metadata.file_path"))
     state = materialise(state, "digests")
     groups = prints.select("doc_id", "digest", "n_chars").join(state, "digest")
 
