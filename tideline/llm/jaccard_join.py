@@ -5,9 +5,11 @@ one order of all shingles, linked sets share a shingle among the first n - ceil(
 
 1. ascending hash: one pass over all texts emits each set's prefix; a set stays only if enough of its prefix is shared
    with other sets. Shingles that many sets of a batch hold are counted on the map side and stand in the shuffle by two witnesses.
-2. rarity among the sets that stay (then hash): shingles that one set alone holds come first and pair with none, passages
-   that many share come last. Sets that share a prefix shingle, with fitting sizes and places, are candidates.
-3. ascending and descending hash again, for each candidate pair, before it is verified on the whole sets.
+2. descending hash, the same among the sets that stay: a partner must have stayed, too.
+3. rarity among the sets that stay (then hash): shingles that one set alone holds come first and pair with none, passages
+   that many share come last. Sets that share a prefix shingle, with fitting sizes and places, are candidates. Of such a pair the
+   smaller set has the shingle in its first seventh, so common shingles make pairs only where they are nearly all that a set has.
+4. both hash orders again, for each candidate pair, before it is verified on the whole sets.
 
 Equal sets are one node from the start. Within a shingle's bucket all nodes are first compared with one pivot; the links
 found make components, and only pairs across components still matter. Pivots are drawn anew while those pairs would be many more than
@@ -38,7 +40,9 @@ SLICE = 1000
 #: A shingle that so many sets of a slice hold is counted there.
 COMMON = 8
 #: Rounds of pivots at most, and remaining pairs for each posting from which they go on.
-PIVOT_ROUNDS, PAIRS_PER_POSTING = 8, 4
+PIVOT_ROUNDS, PAIRS_PER_POSTING = 8, 64
+#: Labels of so many nodes (24 bytes each) are sent to every executor; beyond, they are joined by a shuffle.
+BROADCAST_NODES = 500_000
 
 
 def need(n):
@@ -73,25 +77,43 @@ def members(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, node long")
 
 
-def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """token, node, k: a posting (0), a posting counted here already (-1), or k shared shingles of a node."""
+def _prefix_postings(own: dict[int, np.ndarray], first: bool) -> pa.RecordBatch:
+    """token, node, k: a posting (0), a posting counted here already (-1), or k shared shingles of a node. The prefixes are the
+    sets' first shingles in ascending or in descending order of hash."""
+    lengths = [len(s) - need(len(s)) + spare(len(s)) for s in own.values()]
+    token = np.concatenate([s[:m] if first else s[-m:] for s, m in zip(own.values(), lengths, strict=True)]).view(np.int64)
+    node = np.repeat(np.array(list(own), np.int64), lengths)
+    order = np.argsort(token, kind="stable")
+    token, node = token[order], node[order]
+    start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    size = np.diff(np.append(start, len(token)))
+    common = np.repeat(size >= COMMON, size)
+    counted, times = np.unique(node[common], return_counts=True)
+    witness = np.concatenate([start[size >= COMMON], start[size >= COMMON] + 1]).astype(np.int64)
+    rows = [np.concatenate([token[~common], token[witness], counted]), np.concatenate([node[~common], node[witness], counted])]
+    k = np.concatenate([np.zeros((~common).sum(), np.int32), np.full(len(witness), -1, np.int32), times.astype(np.int32)])
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (*rows, k)], names=["token", "node", "k"])
+
+
+def _text_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, sets in _sets(batches):
-        own = {_node(s): s for s in sets if len(s)}
-        if not own:
-            continue
-        prefixes = [s[: len(s) - need(len(s)) + spare(len(s))] for s in own.values()]
-        token = np.concatenate(prefixes).view(np.int64)
-        node = np.repeat(np.array(list(own), np.int64), [len(p) for p in prefixes])
-        order = np.argsort(token, kind="stable")
-        token, node = token[order], node[order]
-        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        size = np.diff(np.append(first, len(token)))
-        common = np.repeat(size >= COMMON, size)
-        counted, times = np.unique(node[common], return_counts=True)
-        witness = np.concatenate([first[size >= COMMON], first[size >= COMMON] + 1]).astype(np.int64)
-        rows = [np.concatenate([token[~common], token[witness], counted]), np.concatenate([node[~common], node[witness], counted])]
-        k = np.concatenate([np.zeros((~common).sum(), np.int32), np.full(len(witness), -1, np.int32), times.astype(np.int32)])
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*rows, k)], names=["token", "node", "k"])
+        if own := {_node(s): s for s in sets if len(s)}:
+            yield _prefix_postings(own, True)
+
+
+def _set_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, SLICE):
+            batch = whole.slice(at, SLICE)
+            yield _prefix_postings({n: np.frombuffer(s.as_buffer(), np.uint64) for n, s in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)}, False)
+
+
+def _counts(postings: DataFrame) -> DataFrame:
+    """node, c: how many of its prefix shingles other nodes hold in theirs."""
+    return postings.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_shared, "node long, c long").groupBy("node").agg(F.sum("c").alias("c"))
+
+
+ENOUGH = "c >= 1 + floor(n / 16)"
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,15 +146,21 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def survivors(docs: DataFrame, held: DataFrame) -> DataFrame:
     """node, n, rep: the nodes that share enough of their first prefix. held: members."""
-    rows = docs.select("text").mapInArrow(_postings, "token long, node long, k int")
-    counts = rows.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_shared, "node long, c long").groupBy("node").agg(F.sum("c").alias("c"))
+    counts = _counts(docs.select("text").mapInArrow(_text_postings, "token long, node long, k int"))
     reps = held.filter("n_shingles > 0").groupBy("node").agg(F.first("n_shingles").alias("n"), F.min("doc_id").alias("rep"))
-    return reps.join(counts, "node").filter(F.col("c") >= 1 + F.floor(F.col("n") / 16)).select("node", "n", "rep")
+    return reps.join(counts, "node").filter(ENOUGH).select("node", "n", "rep")
+
+
+def second_survivors(sets: DataFrame) -> DataFrame:
+    """The sets that share enough of their last prefix with others that are still there."""
+    counts = _counts(sets.select("node", "tokens").mapInArrow(_set_postings, "token long, node long, k int"))
+    return sets.join(counts, "node").filter(ENOUGH).select("node", "n", "tokens")
 
 
 def sets_of(docs: DataFrame, live: DataFrame) -> DataFrame:
     """node, n, tokens (ascending, as bytes) of the live nodes, from the text of the document with the least id."""
     wanted = live.select("rep", F.col("node").alias("want"))
+    wanted = F.broadcast(wanted) if live.count() <= BROADCAST_NODES else wanted
     texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +189,9 @@ def rare_prefixes(sets: DataFrame) -> DataFrame:
     shared = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     mine = Window.partitionBy("node")
     placed = rows.join(shared, "token").withColumn("place", F.col("n") - F.count(F.lit(1)).over(mine) + F.row_number().over(mine.orderBy("df", "token")))
-    return placed.filter("place <= n - floor((3 * n + 3) / 4) + 1").select("token", "node", "n", "place")
+    placed = placed.filter("place <= n - floor((3 * n + 3) / 4) + 1").select("token", "node", "n", "place")
+    # In the smaller set of a pair, what begins at the first common shingle is six sevenths of it at least.
+    return placed.withColumn("early", 7 * (1 + F.col("n") - F.col("place")) >= 6 * F.col("n"))
 
 
 def _fitting(n1: Column, p1: Column, n2: Column, p2: Column) -> Column:
@@ -208,34 +238,37 @@ def links(sets: DataFrame, trace: list | None = None) -> DataFrame | None:
     """node, label: the components of the sets; None if no two link."""
     postings = materialise(rare_prefixes(sets), "postings")
     n_postings = postings.count()
-    labels = None
-    edges = None
+    labels = edges = None
     for turn in range(PIVOT_ROUNDS + 1):
         if labels is None:
-            named = postings.withColumn("label", F.col("node"))
+            named = postings.withColumns({"label": F.col("node"), "nodes": F.lit(1).cast("long")})
         else:
-            named = postings.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        # Buckets of one component are done. In each other one, all but the largest component's nodes are loose.
-        kinds = named.groupBy("token", "label").agg(F.count(F.lit(1)).alias("m"))
-        buckets = kinds.groupBy("token").agg(F.max(F.struct("m", "label"))["label"].alias("main"), F.max("m").alias("most"), F.sum("m").alias("all"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-        open_rows = materialise(named.join(buckets.select("token", "main", "all", "most"), "token"), "open")
-        left = open_rows.filter(F.col("label") != F.col("main")).agg(F.sum(F.col("all") - 1)).first()[0] or 0
+            sizes = labels.join(labels.groupBy("label").agg(F.count(F.lit(1)).alias("nodes")), "label")
+            small = labels.count() <= BROADCAST_NODES
+            named = postings.join(F.broadcast(sizes) if small else sizes, "node", "left").withColumns({"label": F.coalesce("label", "node"), "nodes": F.coalesce("nodes", F.lit(1).cast("long"))})
+        # A bucket is open if an early node has others of another component. Its pivot is an early node, drawn anew each turn.
+        one = F.when(F.col("early"), F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("place").alias("py"), F.col("label").alias("ly")))
+        buckets = named.groupBy("token").agg(F.max(F.struct("nodes", "label"))["label"].alias("main"), F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("all"), F.sum(F.col("early").cast("long")).alias("first"), F.min(one).alias("one"))
+        buckets = buckets.filter("least <> most and first > 0").select("token", "main", "all", "first", "one.y", "one.ny", "one.py", "one.ly")
+        open_rows = materialise(named.join(buckets, "token"), "open")
+        # Pairs of an early node and another one, of which one at least is outside the bucket's main component.
+        left = open_rows.filter("label <> main").agg(F.sum(F.col("first") + F.when(F.col("early"), F.col("all")).otherwise(0))).first()[0] or 0
         if trace is not None:
             trace.append((n_postings, left))
         if not left:
             break
-        last = left <= PAIRS_PER_POSTING * max(n_postings, 100_000) or turn == PIVOT_ROUNDS
-        loose = open_rows.filter(F.col("label") != F.col("main")) if labels is not None or last else open_rows
-        if not last:
-            # One loose node of each bucket.
-            loose = loose.groupBy("token").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node"), F.col("n"), F.col("place"), F.col("label"))).alias("one")).select("token", "one.*")
-        loose = loose.select("token", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("place").alias("px"), F.col("label").alias("lx"))
-        other = open_rows.select("token", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("place").alias("py"), F.col("label").alias("ly"))
-        met = loose.join(other, "token").filter((F.col("lx") != F.col("ly")) & _fitting(F.col("nx"), F.col("px"), F.col("ny"), F.col("py")))
-        found = materialise(verify(_pairs(met), sets), "links")
-        edges = found if edges is None else edges.unionByName(found)
+        last = left <= PAIRS_PER_POSTING * max(n_postings, 500_000) or turn == PIVOT_ROUNDS
+        if last:
+            rows = open_rows.drop("y", "ny", "py", "ly", "all", "first")
+            early = open_rows.filter("early").select("token", "main", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("place").alias("py"), F.col("label").alias("ly"))
+            outer = rows.join(early.filter("ly <> main").drop("main"), "token").unionByName(rows.filter("label <> main").join(early.filter("ly = main").drop("main"), "token"))
+        else:
+            outer = open_rows
+        near = outer.filter((F.col("label") != F.col("ly")) & _fitting(F.col("n"), F.col("place"), F.col("ny"), F.col("py")))
+        found = materialise(verify(_pairs(near.withColumnRenamed("node", "x")), sets), "links")
         if last and found.isEmpty():
             break
+        edges = found if edges is None else edges.unionByName(found)
         labels = components(edges)
         if last:
             break
@@ -246,7 +279,7 @@ def join(docs: DataFrame, trace: list | None = None) -> DataFrame:
     """doc_id, n_shingles, node, component_id of each row."""
     held = materialise(members(docs), "members")
     live = materialise(survivors(docs, held), "live")
-    sets = materialise(sets_of(docs, live), "sets")
+    sets = materialise(second_survivors(materialise(sets_of(docs, live), "first-sets")), "sets")
     labels = links(sets, trace)
     if labels is None:
         named = held.withColumn("label", F.col("node"))
