@@ -124,7 +124,9 @@ class Network:
         error = (1 / (1 + np.exp(-np.clip(pooled @ self.p["top"] + self.p["base"][0], -30, 30))) - label) / len(label)
         down = error[:, None] * self.p["top"][None, :]
         text = np.repeat(np.arange(len(m)), m)
-        on_chunk = (down[text, :FILTERS] * (held == top[text]) + down[text, FILTERS:] / m[text][:, None]) * (held > 0)
+        # Neighbouring chunks may share a maximum: they share its gradient, too.
+        first_of = held == top[text]
+        on_chunk = (down[text, :FILTERS] * first_of / np.add.reduceat(first_of, at, axis=0)[text] + down[text, FILTERS:] / m[text][:, None]) * (held > 0)
         # A chunk's maximum lies in its first segment, or else in the next one.
         own = np.arange(len(peaks))[np.isin(np.arange(len(peaks)), (np.cumsum(n) - 1)[n > 1], invert=True)]
         on_peak = np.zeros_like(peaks)
