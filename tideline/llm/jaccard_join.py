@@ -11,6 +11,9 @@ one order of all shingles, linked sets share a shingle among the first n - ceil(
    smaller set has the shingle in its first seventh, so common shingles make pairs only where they are nearly all that a set has.
 4. both hash orders again, for each candidate pair, before it is verified on the whole sets.
 
+Every posting carries its set's parities: 512 bits, each the parity of the shingles that hash to it. Bits in which two sets differ are no more
+than the shingles in which they do, so pairs that differ in too many are no candidates. That drops no link.
+
 Equal sets are one node from the start. Within a shingle's bucket all nodes are first compared with one pivot; the links
 found make components, and only pairs across components still matter. Pivots are drawn anew while those pairs would be many more than
 the postings; then all of them are compared. So a group of n near copies costs about n comparisons and no link is lost.
@@ -59,6 +62,15 @@ def _node(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+PARITIES = [f"s{k}" for k in range(8)]
+
+
+def parities(tokens: np.ndarray) -> list[int]:
+    """512 parities as eight longs."""
+    bits = np.bincount((tokens * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(55)).astype(np.int64), minlength=512) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
+
+
 def _sets(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for whole in batches:
         for at in range(0, whole.num_rows, SLICE):
@@ -154,11 +166,11 @@ def survivors(docs: DataFrame, held: DataFrame) -> DataFrame:
 def second_survivors(sets: DataFrame) -> DataFrame:
     """The sets that share enough of their last prefix with others that are still there."""
     counts = _counts(sets.select("node", "tokens").mapInArrow(_set_postings, "token long, node long, k int"))
-    return sets.join(counts, "node").filter(ENOUGH).select("node", "n", "tokens")
+    return sets.join(counts, "node").filter(ENOUGH).select("node", "n", "tokens", *PARITIES)
 
 
 def sets_of(docs: DataFrame, live: DataFrame) -> DataFrame:
-    """node, n, tokens (ascending, as bytes) of the live nodes, from the text of the document with the least id."""
+    """node, n, tokens (ascending, as bytes) and parities of the live nodes, from the text of the document with the least id."""
     wanted = live.select("rep", F.col("node").alias("want"))
     wanted = F.broadcast(wanted) if live.count() <= BROADCAST_NODES else wanted
     texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")))
@@ -166,11 +178,12 @@ def sets_of(docs: DataFrame, live: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets in _sets(batches):
             want = batch.column(batch.schema.get_field_index("want")).to_pylist()
-            kept = [(w, len(s), s.tobytes()) for w, s in zip(want, sets, strict=True) if len(s) and _node(s) == w]
-            columns = list(zip(*kept, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["node", "n", "tokens"])
+            kept = [(w, len(s), s.tobytes(), *parities(s)) for w, s in zip(want, sets, strict=True) if len(s) and _node(s) == w]
+            columns = list(zip(*kept, strict=True)) or [()] * (3 + len(PARITIES))
+            types = [pa.int64(), pa.int64(), pa.binary()] + [pa.int64()] * len(PARITIES)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["node", "n", "tokens", *PARITIES])
 
-    return texts.select("text", "want").mapInArrow(run, "node long, n long, tokens binary")
+    return texts.select("text", "want").mapInArrow(run, ", ".join(["node long, n long, tokens binary", *[f"{s} long" for s in PARITIES]]))
 
 
 def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,13 +204,16 @@ def rare_prefixes(sets: DataFrame) -> DataFrame:
     placed = rows.join(shared, "token").withColumn("place", F.col("n") - F.count(F.lit(1)).over(mine) + F.row_number().over(mine.orderBy("df", "token")))
     placed = placed.filter("place <= n - floor((3 * n + 3) / 4) + 1").select("token", "node", "n", "place")
     # In the smaller set of a pair, what begins at the first common shingle is six sevenths of it at least.
-    return placed.withColumn("early", 7 * (1 + F.col("n") - F.col("place")) >= 6 * F.col("n"))
+    placed = placed.withColumn("early", 7 * (1 + F.col("n") - F.col("place")) >= 6 * F.col("n"))
+    return placed.join(sets.select("node", F.struct(*PARITIES).alias("sig")), "node").select("token", "node", "n", "place", "early", "sig")
 
 
-def _fitting(n1: Column, p1: Column, n2: Column, p2: Column) -> Column:
-    """Whether sets of these sizes can link, and still can if their first common shingle stands at these places."""
+def _fitting(n1: Column, p1: Column, s1: Column, n2: Column, p2: Column, s2: Column) -> Column:
+    """Whether sets of these sizes can link, still can if their first common shingle stands at these places, and differ in few
+    enough parities: sets that link differ in a seventh of both sizes at most."""
     rest = 1 + F.least(n1 - p1, n2 - p2)
-    return (4 * F.least(n1, n2) >= 3 * F.greatest(n1, n2)) & (7 * rest >= 3 * (n1 + n2))
+    differ = sum((F.bit_count(s1[s].bitwiseXOR(s2[s])) for s in PARITIES), F.lit(0))
+    return (4 * F.least(n1, n2) >= 3 * F.greatest(n1, n2)) & (7 * rest >= 3 * (n1 + n2)) & (7 * differ <= n1 + n2)
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
@@ -247,9 +263,9 @@ def links(sets: DataFrame, trace: list | None = None) -> DataFrame | None:
             small = labels.count() <= BROADCAST_NODES
             named = postings.join(F.broadcast(sizes) if small else sizes, "node", "left").withColumns({"label": F.coalesce("label", "node"), "nodes": F.coalesce("nodes", F.lit(1).cast("long"))})
         # A bucket is open if an early node has others of another component. Its pivot is an early node, drawn anew each turn.
-        one = F.when(F.col("early"), F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("place").alias("py"), F.col("label").alias("ly")))
+        one = F.when(F.col("early"), F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("place").alias("py"), F.col("label").alias("ly"), F.col("sig").alias("sy")))
         buckets = named.groupBy("token").agg(F.max(F.struct("nodes", "label"))["label"].alias("main"), F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("all"), F.sum(F.col("early").cast("long")).alias("first"), F.min(one).alias("one"))
-        buckets = buckets.filter("least <> most and first > 0").select("token", "main", "all", "first", "one.y", "one.ny", "one.py", "one.ly")
+        buckets = buckets.filter("least <> most and first > 0").select("token", "main", "all", "first", "one.y", "one.ny", "one.py", "one.ly", "one.sy")
         open_rows = materialise(named.join(buckets, "token"), "open")
         # Pairs of an early node and another one, of which one at least is outside the bucket's main component.
         left = open_rows.filter("label <> main").agg(F.sum(F.col("first") + F.when(F.col("early"), F.col("all")).otherwise(0))).first()[0] or 0
@@ -259,12 +275,12 @@ def links(sets: DataFrame, trace: list | None = None) -> DataFrame | None:
             break
         last = left <= PAIRS_PER_POSTING * max(n_postings, 500_000) or turn == PIVOT_ROUNDS
         if last:
-            rows = open_rows.drop("y", "ny", "py", "ly", "all", "first")
-            early = open_rows.filter("early").select("token", "main", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("place").alias("py"), F.col("label").alias("ly"))
+            rows = open_rows.drop("y", "ny", "py", "ly", "sy", "all", "first")
+            early = open_rows.filter("early").select("token", "main", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("place").alias("py"), F.col("label").alias("ly"), F.col("sig").alias("sy"))
             outer = rows.join(early.filter("ly <> main").drop("main"), "token").unionByName(rows.filter("label <> main").join(early.filter("ly = main").drop("main"), "token"))
         else:
             outer = open_rows
-        near = outer.filter((F.col("label") != F.col("ly")) & _fitting(F.col("n"), F.col("place"), F.col("ny"), F.col("py")))
+        near = outer.filter((F.col("label") != F.col("ly")) & _fitting(F.col("n"), F.col("place"), F.col("sig"), F.col("ny"), F.col("py"), F.col("sy")))
         found = materialise(verify(_pairs(near.withColumnRenamed("node", "x")), sets), "links")
         if last and found.isEmpty():
             break
