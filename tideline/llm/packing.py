@@ -25,28 +25,78 @@ from pyspark.sql import functions as F
 from tideline.llm.scratch import materialise
 
 CAPACITY, END_ID = 1024, 2
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 500_000
 _SPACED = re.compile(r" (?=\S)")
 
 
+#: The pre-tokens of byte-level BPE, and the bytes that its vocabulary writes as themselves.
+PRE_TOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: Words with characters from here on go to the tokenizer itself, whose tables of letters may be of another year.
+LATIN_END = "\u0250"
+
+
 class WordTokens:
     """Ids of texts by a tokenizer of byte-level BPE, with the ids of words kept.
 
     Such a tokenizer starts a new pre-token at every space before a character that isn't white space, and at a line feed between
-    two such characters. So a text is cut there, and each distinct part goes to the tokenizer once. Texts with other runs of white
-    space are cut less and keep nothing."""
+    two such characters. So a text is cut there, and each distinct part is encoded once: all new Latin words of a batch as one text,
+    by the tokenizer's own vocabulary as ranks, others by the tokenizer. Texts with other runs of white space are cut less and
+    keep nothing."""
 
     def __init__(self, path: str, limit: int = KNOWN_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {}
         self.encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        letters = {c: b for b, c in enumerate(self._letters())}
+        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        ranks = {bytes(letters[c] for c in t): i for t, i in self.tokenizer.get_vocab(False).items() if t not in special}
+        self.fast = tiktoken.Encoding("own", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={})
+        self.spaced = np.zeros(max(ranks.values()) + 1, bool)
+        self.spaced[[i for t, i in ranks.items() if t[:1] == b" "]] = True
+        self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
         self.feed = self._ids(["\n"])[0]
 
+    @staticmethod
+    def _letters() -> list[str]:
+        """The character that stands for each byte: printed ones themselves, the others from U+0100 on."""
+        own, rest = set(PRINTED), iter(range(256, 512))
+        return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
+
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.encode(texts, add_special_tokens=False)]
 
+    def _together(self, words: list[str], opens) -> list[bytes]:
+        """Ids of words that each open with one known kind of token and have none inside."""
+        if not words:
+            return []
+        flat = np.array(self.fast.encode_ordinary("".join(words)), "<u4")
+        at = np.flatnonzero(opens(flat))
+        if len(at) != len(words):
+            return self._ids(words)
+        raw, ends = flat.tobytes(), (4 * np.append(at, len(flat))).tolist()
+        return [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+    def _learn(self, words: list[str]) -> None:
+        known, slow = self.known, []
+        known.update(dict.fromkeys(words))
+        lines, inner = [], []
+        for w in words:
+            line = w[:1] == "\n"
+            if not w or w == "\n" or w[-1:].isspace() or w[line : line + 1].isspace():
+                continue  # white space that may belong to the next part: such texts go another way
+            if max(w) >= LATIN_END or self.special.search(w):
+                slow.append(w)
+            else:
+                (lines if line else inner).append(w)
+        feed = int(np.frombuffer(self.feed, "<u4")[0])
+        known.update(zip(inner, self._together([f" {w}" for w in inner], lambda ids: self.spaced[ids]), strict=True))
+        known.update(zip(lines, self._together(lines, lambda ids: ids == feed), strict=True))
+        known.update(zip(slow, self._ids([w if w[0] == "\n" else f" {w}" for w in slow]), strict=True))
+
     def _plain(self, text: str) -> bytes:
         first, *rest = _SPACED.split(text)
         return b"".join(self._ids([first, *[f" {w}" for w in rest]]))
@@ -55,14 +105,13 @@ class WordTokens:
         """Little-endian unsigned 32-bit ids of each text."""
         known = self.known
         parts = [f"\n{t}".replace("\n", " \n").split(" ")[1:] for t in texts]
-        new = [w for w in set().union(*parts) if w not in known]
+        words = set().union(*parts)
+        new = [w for w in words if w not in known]
         if new:
             if len(known) + len(new) > self.limit:
                 known.clear()
-                new = list(set().union(*parts))
-            safe = [w for w in new if w and not w[-1:].isspace() and not w[w[0] == "\n" :][:1].isspace() and w != "\n"]
-            known.update(dict.fromkeys(new))
-            known.update(zip(safe, self._ids([w if w[0] == "\n" else f" {w}" for w in safe]), strict=True))
+                new = list(words)
+            self._learn(new)
         skip = len(self.feed)
         for text, words in zip(texts, parts, strict=True):
             try:
@@ -71,6 +120,16 @@ class WordTokens:
                 yield self._plain(text)
 
 
+_made: dict[str, WordTokens] = {}
+
+
+def word_tokens(path: str) -> WordTokens:
+    """One for each worker process, so that its words outlive a task."""
+    if path not in _made:
+        _made[path] = WordTokens(path)
+    return _made[path]
+
+
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n tokens: the first may be shorter."""
     first = n % capacity or min(n, capacity)
@@ -83,7 +142,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = WordTokens(tokenizer)
+        made = word_tokens(tokenizer)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
