@@ -3,7 +3,7 @@
 The encoding of a text is the chain of tokens whose neighbours are all compatible, where two tokens are compatible if the
 merges of their joined text end in just these two. So the last token of a prefix is the one match of the vocabulary's automaton
 that ends there and is compatible with the last token of the prefix before it; ids are then read backwards from the
-end. Compatibility is found by running the merges on the joined text of the two tokens, once per pair. A table is made for each
+end. Compatibility is told, once per pair, from what stands at the tokens' edges while merges make them. A table is made for each
 distinct word: no piece of the models served here goes past the start of a run of spaces, which the loader checks.
 
 Null texts count as empty; an empty text has no ids but the end id and decodes to an empty text; very long words take time in
@@ -15,6 +15,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-KNOWN_WORDS, KNOWN_PAIRS = 300_000, 1_000_000
+KNOWN_WORDS, KNOWN_PAIRS = 400_000, 1_000_000
 _CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
@@ -46,15 +47,18 @@ class Pieces:
         if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.ids):
             raise ValueError("a piece of this model spans words")
         self.chars = {p for p in self.ids if len(p) == 1}
+        # Where two characters never stand together in a piece, no merge crosses.
+        self.pairs = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         self.loose = any(c not in self.chars for p in self.ids for c in p)
         if self.loose:
             raise ValueError("a piece of this model has a character that is no piece")
         self.automaton = ahocorasick.Automaton()
         for p in self.ids:
-            self.automaton.add_word(p, p)
+            self.automaton.add_word(p, (p, len(p)))
         self.automaton.make_automaton()
+        self.plain = [b"" if i in self.silent else bytes([self.byte_of[i]]) if i in self.byte_of else (" ⁇ " if i == self.unknown else t.replace(SPACE, " ")).encode() for i, t in enumerate(self.text)]
         self.fits: dict[tuple[str, str], bool] = {}
-        self.alone: dict[str, bool] = {}
+        self.edges: dict[str, tuple[list, list] | None] = {}
         self.words: dict[str, bytes] = {}
 
     def merges(self, text: str) -> list[str]:
@@ -81,38 +85,77 @@ class Pieces:
             offer(i)
         return [p for p in parts if p]
 
+    def spines(self, piece: str) -> tuple[list, list] | None:
+        """What stands at the left and at the right edge of a piece while merges make it: (text, when it is made, when it is taken
+        into the next), the whole piece first. Merges come by falling score, so a time is the worst score that one had to wait for.
+        None if the merges of its text don't end in it."""
+        if piece not in self.edges:
+            score = self.score
+            nodes = [(c, float("-inf"), None, None) for c in piece]
+            while len(nodes) > 1:
+                best = max(((score[both], -i) for i in range(len(nodes) - 1) if (both := nodes[i][0] + nodes[i + 1][0]) in score), default=None)
+                if best is None:
+                    break
+                i = -best[1]
+                left, right = nodes[i], nodes[i + 1]
+                nodes[i : i + 2] = [(left[0] + right[0], max(-best[0], left[1], right[1]), left, right)]
+            found = None
+            if len(nodes) == 1:
+                found = ([], [])
+                for out, side in zip(found, (2, 3), strict=True):
+                    node, end = nodes[0], float("inf")
+                    while node is not None:
+                        out.append((node[0], node[1], end))
+                        node, end = node[side], node[1]
+            self.edges[piece] = found
+        return self.edges[piece]
+
     def compatible(self, left: str, right: str) -> bool:
+        """Whether no merge crosses from one token into the other while both are made. Where times tie, the merges are run."""
         pair = (left, right)
-        if (held := self.fits.get(pair)) is None:
-            if len(self.fits) >= KNOWN_PAIRS:
-                self.fits.clear()
-            held = self.fits[pair] = self.merges(left + right) == [left, right]
+        if (held := self.fits.get(pair)) is not None:
+            return held
+        if len(self.fits) >= KNOWN_PAIRS:
+            self.fits.clear()
+        held = self.spines(right) is not None
+        if held:
+            score = self.score
+            for a, made_a, end_a in self.spines(left)[1]:
+                for b, made_b, end_b in self.spines(right)[0]:
+                    crossing = score.get(a + b)
+                    if crossing is not None:
+                        when, end = max(-crossing, made_a, made_b), min(end_a, end_b)
+                        if when <= end:
+                            held = when == end and self.merges(left + right) == [left, right]
+                            self.fits[pair] = held
+                            return held
+        self.fits[pair] = held
         return held
 
     def whole(self, piece: str) -> bool:
-        if (held := self.alone.get(piece)) is None:
-            held = self.alone[piece] = self.merges(piece) == [piece]
-        return held
+        return self.spines(piece) is not None
 
     def table(self, word: str) -> list[str]:
         """The last token of each prefix of the word; an unknown character is its own, and nothing joins it."""
         last: list[str] = [""] * (len(word) + 1)
-        fits, chars, ids = self.fits, self.chars, self.ids
-        for end, piece in self.automaton.iter(word):
-            if last[end + 1]:
+        strange = not self.chars.issuperset(word)
+        known, compatible = self.fits.get, self.compatible
+        for end, (piece, n) in self.automaton.iter(word):
+            end += 1
+            if last[end]:
                 continue
-            start = end + 1 - len(piece)
-            # An unknown character ends a prefix without a match.
-            left = word[start - 1] if start and not last[start] else last[start]
-            if left and left in ids:
-                held = fits.get((left, piece))
-                if held or (held is None and self.compatible(left, piece)):
-                    last[end + 1] = piece
-            elif self.whole(piece):
-                last[end + 1] = piece
-        for k, c in enumerate(word):
-            if c not in chars:
-                last[k + 1] = c
+            start = end - n
+            if start and (left := last[start]):
+                if (fits := known((left, piece))) or (fits is None and compatible(left, piece)):
+                    last[end] = piece
+            elif (not start or strange) and self.whole(piece):
+                # Nothing before it, or an unknown character, which ends a prefix without a match.
+                if not start or word[start - 1] not in self.chars:
+                    last[end] = piece
+        if strange:
+            for k, c in enumerate(word):
+                if c not in self.chars:
+                    last[k + 1] = c
         return last
 
     def encode_word(self, word: str) -> list[int]:
@@ -132,7 +175,13 @@ class Pieces:
         if (held := self.words.get(word)) is None:
             if len(self.words) >= KNOWN_WORDS:
                 self.words.clear()
-            held = self.words[word] = np.array(self.encode_word(word), np.int32).tobytes()
+            pairs = self.pairs
+            cuts = [k for k in range(1, len(word)) if word[k - 1 : k + 1] not in pairs]
+            if cuts:
+                held = b"".join(self.word(word[a:b]) for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True))
+            else:
+                held = np.array(self.encode_word(word), np.int32).tobytes()
+            self.words[word] = held
         return held
 
     def encode(self, text: str) -> bytes:
@@ -151,23 +200,13 @@ class Pieces:
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: control ids are silent, the space put before the text goes, broken bytes become U+FFFD."""
-        out: list[str] = []
-        run = bytearray()
-        text, silent, byte_of = self.text, self.silent, self.byte_of
-        for i in ids:
-            if i in byte_of:
-                run.append(byte_of[i])
-                continue
-            if i in silent:
-                continue
-            if run:
-                out.append(_whole_bytes(bytes(run)))
-                run.clear()
-            out.append(" ⁇ " if i == self.unknown else text[i])
-        if run:
-            out.append(_whole_bytes(bytes(run)))
-        said = "".join(out).replace(SPACE, " ")
-        return said[1:] if out and out[0].startswith(SPACE) else said
+        first = next((i for i in ids if i not in self.silent), None)
+        drop = first is not None and first not in self.byte_of and self.text[first].startswith(SPACE)
+        try:
+            return b"".join(map(self.plain.__getitem__, ids)).decode()[drop:]
+        except UnicodeDecodeError:  # runs of byte ids, each on its own
+            runs = [(byte, [*own]) for byte, own in groupby((i for i in ids if i not in self.silent), self.byte_of.__contains__)]
+            return "".join(_whole_bytes(b"".join(map(self.plain.__getitem__, own))) if byte else b"".join(map(self.plain.__getitem__, own)).decode() for byte, own in runs)[drop:]
 
 
 def _whole_bytes(run: bytes) -> str:
@@ -191,6 +230,16 @@ def _whole_bytes(run: bytes) -> str:
     return "".join(out)
 
 
+_made: dict[str, Pieces] = {}
+
+
+def pieces_of(path: str) -> Pieces:
+    """One for each worker process, so that its words and pairs outlive a task."""
+    if path not in _made:
+        _made[path] = Pieces(path)
+    return _made[path]
+
+
 def _schema(df: DataFrame, name: str, kind: str) -> str:
     return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != name] + [f"`{name}` {kind}"])
 
@@ -199,7 +248,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", end:
     """df with the array ``ids`` of each text, with the end id last if ``end``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Pieces(path)
+        model = pieces_of(path)
         last = np.array([model.end], np.int32).tobytes() if end else b""
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
@@ -217,7 +266,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
     """df with the text of each array of ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Pieces(path)
+        model = pieces_of(path)
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
