@@ -186,12 +186,11 @@ def expectation_maximisation(config: dict, ts_ns: list[int], values: list[dict[i
         kalman = make_filter(config)
         kalman.observation.variances[:] = r
         kalman.motion = type("Fixed", (), {"n": n, "at": staticmethod(lambda _, f=f, q=q: (f, q, None))})()
-        steps, ts = [], 0
+        steps = []
         for k, v in enumerate(values):
             kalman.step(round(k * dt * 1e9), v)
             d, x, p = kalman.prior
             steps.append({"dt": d, "x": kalman.x.copy(), "p": kalman.p.copy(), "x_prior": x, "p_prior": p})
-        del ts
         ll = kalman.ll
         found = rauch_tung_striebel(steps, lambda _: f)
         total = np.zeros((n, n))

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-from tideline.operators.linalg import cholesky_semidefinite, van_loan
+from tideline.operators.linalg import van_loan
 
 
 class Motion:
@@ -513,7 +513,3 @@ def build(config: dict) -> Model:
 
 def register(name: str, make: Callable[..., Model]) -> None:
     MODELS[name] = make
-
-
-def noise_factor(q: np.ndarray) -> np.ndarray:
-    return cholesky_semidefinite(q)

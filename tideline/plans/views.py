@@ -77,10 +77,6 @@ def kalman_ticks(spark: SparkSession, sf: str) -> DataFrame:
     return user_ticks(spark, sf).withColumn("values", F.create_map(F.lit(0), C("price")))
 
 
-def first_order() -> object:
-    return ordered()
-
-
 # ---- the same in SQL
 
 TICKS = "ticks AS (SELECT event_type AS symbol, epoch_us(ts) * 1000 AS ts_ns, event_id AS seq, value AS price, (event_id % 10 + 1)::DOUBLE AS size, CASE event_id % 3 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN -1.0::DOUBLE ELSE 0.0::DOUBLE END AS sign FROM events)"
