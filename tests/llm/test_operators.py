@@ -414,6 +414,18 @@ def test_formats_are_inferred(spark):
     assert len(automaton.states) < 60
 
 
+def test_every_run_is_a_candidate():
+    r = random.Random(3)
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    keys = ["wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "A1b2C3d4E5f6G7", f"ghp_{'abcdefghij' * 3}7Q8", "aB3" * 100, "onlylettersXY"]
+    keys += ["".join(r.choice(base64) for _ in range(n)) for n in (12, 16, 40, 64) for _ in range(500)]
+    for k in keys:
+        assert k in {v for _, _, v in secrets.candidates(f"clé {k} here", [])}
+    assert {"ASIAABCDEFGH12345678", "wJalrXUtnFEMI/K7MDENG=="} <= {v for _, _, v in secrets.candidates("(x=ASIAABCDEFGH12345678, KEY=wJalrXUtnFEMI/K7MDENG==.)", [])}
+    text = "x.y-0123456789abcdef.Zz12Zz12Zz12Zz, short 1a2b3c4d5e6"
+    assert secrets.candidates(text, secrets.base_spans(text)) == [(21, 35, "Zz12Zz12Zz12Zz")]
+
+
 def test_redaction(spark, docs):
     got = {r["doc_id"]: r for r in secrets.redact(docs[0]).collect()}
     assert got[17]["text"] == '[secret] [secret]" [secret] SECRET: short' and got[17]["n_chars"] == len(got[17]["text"])

@@ -1,9 +1,11 @@
 """Secret scans: fixed patterns, and formats inferred from what they found.
 
-One pass over all texts finds the base spans and the candidates: long tokens of letters and digits that no base span covers. The
+One pass over all texts finds the base spans and the candidates: all runs of what a value of any kind may hold, as long as the
+shortest value of any kind or longer, and their pieces between signs, as far as no base span touches them. The
 base values, labelled by their kind, teach one probabilistic automaton per kind (a bounded sample of ``examples`` values per kind,
 the least by hash); tokens that are no credentials teach another. Every candidate is then scored by every automaton; one that a kind's automaton
-likes as well as that kind's own examples, and clearly better than the automaton of plain tokens does, becomes a span of that kind.
+likes as well as that kind's own examples, and clearly better than the automaton of plain tokens does, becomes a span of that kind,
+unless it lies within another such.
 
 Null texts count as empty and have no spans; very long texts are read whole; equal texts have equal spans; a kind without examples
 adds nothing; an empty table gives an empty result. Extra columns are ignored by ``scan`` and kept by ``redact``.
@@ -12,13 +14,15 @@ adds nothing; an empty table gives an empty result. Extra columns are ignored by
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.automata import Automaton
+from tideline.llm.automata import Automaton, symbol
 from tideline.llm.scratch import materialise
 
 KINDS = ("assign", "access", "hex")
@@ -26,10 +30,14 @@ ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\
 WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")  # as AKIA[A-Z0-9]+ of 18 or more: a later start in a run is shorter
 HEX = re.compile(r"[0-9a-f]{16,}")  # as [0-9a-f]+ of 16 or more: runs are whole
-TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]{0,24}[0-9])[A-Za-z0-9_-]{16,128}(?![A-Za-z0-9_-])")
+#: All that a value of any kind may hold; none has fewer than LEAST characters.
+LEAST = 12
+RUN = re.compile(rf"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{{{LEAST},}}")
+#: Pieces of a run: without signs at its ends; without dots and names before an equals sign; tokens; letters and digits alone.
+PIECES = [re.compile(p) for p in (r"[A-Za-z0-9](?:[A-Za-z0-9+/_.=-]*[A-Za-z0-9])?=*", r"[A-Za-z0-9+/_-]++=*", r"[A-Za-z0-9_-]++", r"[A-Za-z0-9]++")]
 #: At most so many labelled values teach an automaton.
 EXAMPLES = 300
-_ALIKE = re.compile(r"[A-Z]|[a-z]")
+_CLASSES = {c: symbol(chr(c)) for c in range(128)}
 
 
 def base_spans(text: str) -> list[tuple[int, int, str, str]]:
@@ -45,11 +53,23 @@ def base_spans(text: str) -> list[tuple[int, int, str, str]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str]]:
-    """Tokens of 16 to 128 characters with a digit and a letter that touch no base span."""
+    """Runs and their pieces that touch no base span, by start, the longer first."""
+    starts, ends = [], []  # of the unions of overlapping base spans
+    for a, b, *_ in base:
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
     out = []
-    for m in TOKEN.finditer(text):
-        if _ALIKE.search(m[0]) and not any(a < m.end() and m.start() < b for a, b, *_ in base):
-            out.append((m.start(), m.end(), m[0]))
+    for m in RUN.finditer(text):
+        found = {m.span()}
+        if not m[0].isalnum():
+            found |= {p.span() for piece in PIECES for p in piece.finditer(text, *m.span()) if p.end() - p.start() >= LEAST}
+        for a, b in sorted(found, key=lambda s: (s[0], -s[1])):
+            at = bisect_right(ends, a)
+            if at == len(ends) or starts[at] >= b:
+                out.append((a, b, text[a:b]))
     return out
 
 
@@ -102,6 +122,22 @@ def likely_kind(value: str, made: dict[str, tuple[Automaton, float]], plain: Aut
     return kind if plain is None or best - plain.score(value) >= margin else None
 
 
+def chooser(made: dict[str, tuple[Automaton, float]], plain: Automaton | None) -> Callable[[list[tuple[int, int, str]]], list[tuple[int, int, str, str]]]:
+    """What makes spans of candidates, given by start, the longer first; one within another span is left out."""
+    kind_of = lambda value: likely_kind(value, made, plain)
+    held = lru_cache(1 << 16)(kind_of)  # automata see classes only, so values of one format have one kind
+
+    def choose(more: list[tuple[int, int, str]]) -> list[tuple[int, int, str, str]]:
+        out, ends = [], 0
+        for a, b, value in more:
+            if b > ends and (kind := (held if b - a <= 64 else kind_of)(value.translate(_CLASSES))):
+                out.append((a, b, kind, value))
+                ends = b
+        return out
+
+    return choose
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, base, spans: base spans, and all spans (start, end, kind, value) of each text."""
     found = materialise(find(docs), "secrets")
@@ -109,11 +145,12 @@ def scan(docs: DataFrame) -> DataFrame:
     kind = found.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        choose = chooser(made, plain)
         for batch in batches:
             rows = []
             for base, more in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 own = [tuple(s.values()) for s in base]
-                own += [(s["start"], s["end"], k, s["value"]) for s in more if (k := likely_kind(s["value"], made, plain))]
+                own += choose([(s["start"], s["end"], s["value"]) for s in more])
                 rows.append(sorted(own, key=lambda s: (s[0], KINDS.index(s[2]))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _arrow_spans(rows)], names=["doc_id", "base", "spans"])
 
@@ -139,13 +176,14 @@ def redact(docs: DataFrame, by: str = "[secret]") -> DataFrame:
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        choose = chooser(made, plain)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             new = []
             for t in texts:
                 base = base_spans(t or "")
-                more = [(a, b) for a, b, v in candidates(t or "", base) if likely_kind(v, made, plain)]
-                new.append(mask(t, [s[:2] for s in base] + more, by) if base or more else t)
+                own = base + choose(candidates(t or "", base))
+                new.append(mask(t, [s[:2] for s in own], by) if own else t)
             columns = {n: batch.column(batch.schema.get_field_index(n)) for n in names}
             columns["text"] = pa.array(new, batch.schema.field("text").type)
             if "n_chars" in columns:
