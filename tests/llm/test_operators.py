@@ -426,6 +426,41 @@ def test_every_run_is_a_candidate():
     assert secrets.candidates(text, secrets.base_spans(text)) == [(21, 35, "Zz12Zz12Zz12Zz")]
 
 
+def test_values_of_the_wide_alphabet_are_found(spark):
+    r = random.Random(4)
+    key = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n))
+    words = "international considerations straightforward responsibility, see docs/readme-first.txt of 2024-01-15 at 192.168.100.200"
+    rows = [(k, f"password = {key(40)} and {words}") for k in range(80)] + [(100 + k, f"use {key(40)} or {words}") for k in range(40)]
+    got = {x["doc_id"]: x for x in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum([(s["start"], s["end"], s["kind"]) for s in got[100 + k]["spans"]] == [(4, 44, "assign")] for k in range(40)) >= 30
+
+
+def test_unseen_keys_are_found_however_many(spark):
+    r = random.Random(5)
+    key = lambda: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(16))
+    seeds = [(k, f"use AKIA{key()} here") for k in range(60)]
+    for n, around in ((40, "use {} here"), (400, "use {} here"), (40, "{}")):
+        unseen = [(1000 + k, around.format(f"ASIA{key()}")) for k in range(n)]
+        got = [x["spans"] for x in secrets.scan(spark.createDataFrame(seeds + unseen, "doc_id long, text string")).filter("doc_id >= 1000").collect()]
+        assert sum([s["kind"] for s in x] == ["access"] for x in got) >= 0.7 * n
+
+
+def test_plain_text_is_counted_whole(monkeypatch):
+    texts = ["ab 12, é_x\n", "", "abcdefghijk", "abcdefghijkl", "a.b " * 50]
+    want = {}
+    for t in texts:
+        for m in re.finditer(r"[A-Za-z0-9+/_.=-]+", t):
+            if len(m[0]) < 12:
+                n = [0, 0, *(secrets._NUMBER[secrets.symbol(c)] for c in m[0])]
+                for k in range(len(m[0])):
+                    p, q, now = n[k : k + 3]
+                    want[p * 121 + q * 11 + now] = want.get(p * 121 + q * 11 + now, 0) + 1
+    for strip in (1 << 20, 7):
+        monkeypatch.setattr(secrets, "STRIP", strip)
+        counts = secrets.plain_counts(texts)
+        assert {k: n for k, n in enumerate(counts.tolist()) if n} == want
+
+
 def test_redaction(spark, docs):
     got = {r["doc_id"]: r for r in secrets.redact(docs[0]).collect()}
     assert got[17]["text"] == '[secret] [secret]" [secret] SECRET: short' and got[17]["n_chars"] == len(got[17]["text"])

@@ -3,9 +3,10 @@
 One pass over all texts finds the base spans and the candidates: all runs of what a value of any kind may hold, as long as the
 shortest value of any kind or longer, and their pieces between signs, as far as no base span touches them. The
 base values, labelled by their kind, teach one probabilistic automaton per kind (a bounded sample of ``examples`` values per kind,
-the least by hash); tokens that are no credentials teach another. Every candidate is then scored by every automaton; one that a kind's automaton
-likes as well as that kind's own examples, and clearly better than the automaton of plain tokens does, becomes a span of that kind,
-unless it lies within another such.
+the least by hash). What is surely no credential, runs too short for a value of any kind, teaches the automaton of plain text: its
+states are the last two classes of characters, counted over all texts, so that no candidate has a part in it. Every candidate is
+then scored by every automaton; one that a kind's automaton likes as well as that kind's own examples, and clearly better than plain
+text does, becomes a span of that kind, unless it lies within another such.
 
 Null texts count as empty and have no spans; very long texts are read whole; equal texts have equal spans; a kind without examples
 adds nothing; an empty table gives an empty result. Extra columns are ignored by ``scan`` and kept by ``redact``.
@@ -13,11 +14,13 @@ adds nothing; an empty table gives an empty result. Extra columns are ignored by
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +41,12 @@ PIECES = [re.compile(p) for p in (r"[A-Za-z0-9](?:[A-Za-z0-9+/_.=-]*[A-Za-z0-9])
 #: At most so many labelled values teach an automaton.
 EXAMPLES = 300
 _CLASSES = {c: symbol(chr(c)) for c in range(128)}
+#: The classes of a run's characters by number; 0 is all that ends a run.
+_NUMBER = {c: k for k, c in enumerate("9fzA+/_.=-", 1)}
+_N = len(_NUMBER) + 1
+_NUMBERS = np.array([_NUMBER.get(symbol(chr(c)), 0) if chr(c).isalnum() or chr(c) in "+/_.=-" else 0 for c in range(128)] + [0] * 128, np.int16)
+#: Texts are counted together or in strips of about so many characters.
+STRIP = 1 << 20
 
 
 def base_spans(text: str) -> list[tuple[int, int, str, str]]:
@@ -73,6 +82,59 @@ def candidates(text: str, base: list[tuple[int, int, str, str]]) -> list[tuple[i
     return out
 
 
+def strips(texts: list[str]) -> Iterator[str]:
+    """The texts, together as far as they are short, and in strips that end between words where they are long."""
+    held, size = [], 0
+    for text in texts:
+        at = 0
+        while len(text) - at > STRIP:
+            end = text.find(" ", at + STRIP)
+            if end < 0:
+                break
+            yield text[at:end]
+            at = end
+        held.append(text[at:] if at else text)
+        size += len(held[-1])
+        if size > STRIP:
+            yield "\n".join(held)
+            held, size = [], 0
+    yield "\n".join(held)
+
+
+def plain_counts(texts: list[str]) -> np.ndarray:
+    """How often each class follows each two classes before it, in the runs of under LEAST characters."""
+    total = np.zeros(_N**3, np.int64)
+    for text in strips(texts):
+        now = _NUMBERS[np.frombuffer(text.encode("ascii", "replace"), np.uint8)]
+        edges = np.flatnonzero(np.diff(now != 0, prepend=False, append=False)).reshape(-1, 2)
+        for a, b in edges[edges[:, 1] - edges[:, 0] >= LEAST]:
+            now[a:b] = 0
+        now = np.concatenate([np.zeros(2, np.int16), now])
+        code = (now[:-2] * (now[1:-1] > 0) * _N + now[1:-1]) * _N + now[2:]  # nothing before a run counts
+        total += np.bincount(code[now[2:] != 0], minlength=_N**3)
+    return total
+
+
+class Plain:
+    """The automaton of plain text: a state for every two classes. Runs are scored given their length, so ends do not count."""
+
+    def __init__(self, counts: np.ndarray):
+        shaped = counts.reshape(_N, _N, _N)
+        # What two classes did not show is told by one, and that by none: each counts as one more in the state it backs.
+        none = (shaped.sum((0, 1)) + 0.5) / (shaped.sum() + 0.5 * _N)
+        one = (shaped.sum(0) + none) / (shaped.sum((0, 2)) + 1)[:, None]
+        self.logs = np.log((shaped + one) / (shaped.sum(2) + 1)[:, :, None]).tolist()
+
+    def score(self, text: str) -> float:
+        """Mean log likelihood of a symbol."""
+        total, p, q = 0.0, 0, 0
+        for c in text:
+            now = _NUMBER[symbol(c)]
+            total += self.logs[p][q][now]
+            p, q = q, now
+        return total / len(text)
+
+
 SPANS = "array<struct<start:int,end:int,kind:string,value:string>>"
 
 
@@ -82,7 +144,7 @@ def _arrow_spans(rows: list[list[tuple]]) -> pa.Array:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id, base, more: the base spans and the candidates of each text."""
+    """doc_id, base, more, plain: the base spans and the candidates of each text; in the first row of a batch, its counts of plain text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,37 +154,41 @@ def find(docs: DataFrame) -> DataFrame:
                 texts = [t or "" for t in batch.column(1).to_pylist()]
                 base = [base_spans(t) for t in texts]
                 more = [[(a, b, "", v) for a, b, v in candidates(t, s)] for t, s in zip(texts, base, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), _arrow_spans(base), _arrow_spans(more)], names=["doc_id", "base", "more"])
+                plain = pa.array([plain_counts(texts).tolist()] + [None] * (batch.num_rows - 1), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), _arrow_spans(base), _arrow_spans(more), plain], names=["doc_id", "base", "more", "plain"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, base {SPANS}, more {SPANS}")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, base {SPANS}, more {SPANS}, plain array<long>")
 
 
-def fit(found: DataFrame, examples: int = EXAMPLES) -> tuple[dict[str, tuple[Automaton, float]], Automaton | None]:
-    """For each kind its automaton and the score that 95 of 100 examples reach; the automaton of plain tokens."""
-    spans = found.select(F.explode("base").alias("s")).select("s.kind", "s.value").unionByName(found.select(F.explode("more").alias("s")).select(F.lit("plain").alias("kind"), "s.value"))
+def fit(found: DataFrame, examples: int = EXAMPLES) -> tuple[dict[str, tuple[Automaton, float]], Plain]:
+    """For each kind its automaton and the score that 95 of 100 examples reach; the automaton of plain text."""
+    spans = found.select(F.explode("base").alias("s")).select("s.kind", "s.value")
     taught: dict[str, list[str]] = {}
-    for kind in (*KINDS, "plain"):
+    for kind in KINDS:
         own = spans.filter(F.col("kind") == kind).select("value").distinct()
         taught[kind] = [r[0] for r in own.orderBy(F.xxhash64("value"), "value").limit(examples).collect()]
+    counts = np.zeros(_N**3, np.int64)
+    for at, n in found.select(F.posexplode("plain").alias("at", "n")).filter("n > 0").groupBy("at").agg(F.sum("n")).collect():
+        counts[at] = n
     made = {}
     for kind in KINDS:
         if len(taught[kind]) >= 20:
             automaton = Automaton(taught[kind])
             scores = sorted(map(automaton.score, taught[kind]))
             made[kind] = (automaton, scores[len(scores) // 20])
-    return made, Automaton(taught["plain"]) if taught["plain"] else None
+    return made, Plain(counts)
 
 
-def likely_kind(value: str, made: dict[str, tuple[Automaton, float]], plain: Automaton | None, margin: float = 0.1) -> str | None:
+def likely_kind(value: str, made: dict[str, tuple[Automaton, float]], plain: Plain, margin: float = 0.1) -> str | None:
     """The kind whose automaton holds the value for one of its own; None if none does."""
     scored = [(a.score(value), -k, kind) for k, (kind, (a, least)) in enumerate(made.items()) if a.score(value) >= least]
     if not scored:
         return None
     best, _, kind = max(scored)
-    return kind if plain is None or best - plain.score(value) >= margin else None
+    return kind if best - plain.score(value) >= margin else None
 
 
-def chooser(made: dict[str, tuple[Automaton, float]], plain: Automaton | None) -> Callable[[list[tuple[int, int, str]]], list[tuple[int, int, str, str]]]:
+def chooser(made: dict[str, tuple[Automaton, float]], plain: Plain) -> Callable[[list[tuple[int, int, str]]], list[tuple[int, int, str, str]]]:
     """What makes spans of candidates, given by start, the longer first; one within another span is left out."""
     kind_of = lambda value: likely_kind(value, made, plain)
     held = lru_cache(1 << 16)(kind_of)  # automata see classes only, so values of one format have one kind
