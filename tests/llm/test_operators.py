@@ -121,6 +121,32 @@ def test_contexts_find_unseen_identifiers(spark):
     assert all(got[k]["spans"] == got[k]["base"] and len(got[k]["base"]) == 2 for k in range(12))
 
 
+def test_identifiers_in_spaced_groups(spark):
+    def card(k):
+        digits = f"41111111111{k:04d}"
+        digits += next(str(d) for d in range(10) if luhn(digits + str(d)))
+        return " ".join(digits[at : at + 4] for at in range(0, 16, 4))
+
+    seeds = [(k, f"please call +1 (234) 555-66{k:02d} now") for k in range(12)] + [(20 + k, f"she pays with {card(k)} today") for k in range(12)]
+    new = {100: ("please call 176-555-0570", ["phone"]), 101: ("please call 176 555 0570 now", ["phone"]), 102: ("please call (176) 555-0570 now", ["phone"]), 103: ("pays with 4111 1111 1111 1112 today", ["card"]),
+           104: ("in 2020 15 of 1234567 4111 1111 1111 1112", []), 105: (f"pays with {card(3)}, 176 555 0570", ["card"])}
+    got = {r["doc_id"]: r for r in personal_data.scan(spark.createDataFrame(seeds + [(k, t) for k, (t, _) in new.items()], "doc_id long, text string")).collect()}
+    for k, (t, kinds) in new.items():
+        assert [s["kind"] for s in got[k]["spans"]] == kinds
+    assert [new[k][0][s["start"] : s["end"]] for k in range(100, 104) for s in got[k]["spans"]] == ["176-555-0570", "176 555 0570", "(176) 555-0570", "4111 1111 1111 1112"]
+    assert all(got[k]["spans"] == got[k]["base"] and len(got[k]["base"]) == 1 for k in range(32) if k in got)
+
+
+def test_runs_and_their_words(spark):
+    text = "x 12 1234567 10.20.30.40 98765 4321, mail7 555 0570 and 12  345678"
+    found = personal_data.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0]["seen"]
+    assert all(text[c["start"] : c["end"]] == c["token"] for c in found)
+    assert [(c["token"], c["before2"], c["before1"], c["kind"]) for c in found] == [
+        ("12 1234567", "", "x", None), ("1234567", "x", "12", None), ("10.20.30.40", "x", "12 1234567", "ip"), ("98765 4321,", "12 1234567", "10.20.30.40", None),
+        ("555 0570", "98765 4321,", "mail7", None), ("345678", "12", "", None),
+    ]
+
+
 # ---- 3
 
 

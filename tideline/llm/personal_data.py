@@ -1,7 +1,8 @@
 """Personal data: fixed patterns, and contexts bootstrapped from what they found.
 
-One pass over all texts finds the base spans (email, ip, card, phone) and the candidates: words that look like identifiers, each
-with the two words before it. Base finds are the seeds. Candidates and contexts make a graph of distinct pairs; in each round a
+One pass over all texts finds the base spans (email, ip, card, phone) and the candidates: words that look like identifiers, and
+runs of groups of digits with single spaces between them, each with the two words before it. A run ends where a base span does; its
+words are candidates too, unless a base span touches them, and give way where the whole run becomes a span. Base finds are the seeds. Candidates and contexts make a graph of distinct pairs; in each round a
 context's confidence in a kind is the share of its distinct candidates that are of this kind so far, and candidates met by a
 context of high confidence and support join the kind. What the contexts of the last round find beside the base
 becomes spans, if it has the kind's shape. The rounds run on the graph alone, whose tables are summed on the map side first and cut at
@@ -30,9 +31,13 @@ PATTERNS = {
 }
 #: What a text must hold for its pattern to be tried.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": r"\+[0-9]"}
-SHAPES = {"email": r"[^@]@[^@]", "ip": r"^[0-9]+([.:][0-9]+){3,}[^0-9]*$", "card": r"^[^0-9]*([0-9][\x20-]?){12,19}[^0-9]*$", "phone": r"^\+?[(]?([0-9][().-]*){7,15}$"}
+SHAPES = {"email": r"[^@]@[^@]", "ip": r"^[0-9]+([.:][0-9]+){3,}[^0-9]*$", "card": r"^[^0-9]*([0-9][\x20-]?){12,19}[^0-9]*$", "phone": r"^\+?[(]?([0-9][().-]*+\x20?+[(]?+){7,15}$"}
 PART = r"0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
 CANDIDATE = r"^(?=.*(?:[0-9].*){4}|.*[^@]@[^@]).{6,80}$"
+#: A group of digits that is a word, before a space and another group.
+GROUP = r"(?<![^\x20\x09-\x0D])([+(]*+[0-9][0-9().-]*+)\x20(?=[(]?[0-9][0-9().-]*+(?![A-Za-z_@]))"
+#: Stands for the spaces within runs; no text should hold this noncharacter, and where one does it only parts words.
+JOIN = "\uffff"
 SPAN = "array<struct<start:int,end:int,kind:string>>"
 
 
@@ -88,30 +93,53 @@ def in_order(spans: Column) -> Column:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """key, doc_id, base, seen: base spans, and candidates with start, end, token, before1, before2 and kind (null if no seed)."""
+    """key, doc_id, base, seen: base spans, and candidates with start, end, token, before1, before2, run (where its run starts) and kind (null if no seed)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     held = docs.select(F.monotonically_increasing_id().alias("key"), "doc_id", text.alias("text"))
     for kind in KINDS:
         held = held.withColumn(kind, kind_spans(F.col("text"), kind))
     held = held.withColumn("base", in_order(F.concat(*KINDS))).drop(*KINDS)
-    held = held.withColumn("words", F.when(F.col("text").rlike("[0-9]{2}|@"), F.split("text", r"[\x20\x09-\x0D]", -1)).otherwise(F.array().cast("array<string>")))
-    spots = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get("words", i).rlike(CANDIDATE))
+    gate = F.col("text").rlike("[0-9]{2}|@")
+    joined_text = F.regexp_replace(F.translate("text", JOIN, " "), GROUP, f"$1{JOIN}")
+
+    def part(runs: Column, at: Column) -> Column:
+        return F.when(F.substring(runs, at, F.lit(1)) == JOIN, F.overlay(runs, F.lit(" "), at, F.lit(1))).otherwise(runs)
+
+    parted = F.aggregate("base", joined_text, lambda t, s: part(part(t, s["start"]), s["end"] + 1))
+    held = held.withColumn("words", F.when(gate, F.split(parted, r"[\x20\x09-\x0D]", -1)).otherwise(F.array().cast("array<string>")))
+    spots = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get("words", i).rlike(CANDIDATE) | F.contains(F.get("words", i), F.lit(JOIN)))
     held = held.withColumn("spots", F.when(F.size("words") > 0, spots).otherwise(F.array().cast("array<int>")))
 
+    def word(at: Column) -> Column:
+        return F.when(at >= 0, F.lower(F.translate(F.get("words", at), JOIN, " "))).otherwise("")
+
     def told(i: Column) -> Column:
         start = F.aggregate(F.slice("words", 1, i), F.lit(0), lambda a, w: a + F.length(w) + 1)
-        return F.struct(
-            start.alias("start"), (start + F.length(F.get("words", i))).alias("end"), F.get("words", i).alias("token"),
-            F.when(i > 0, F.lower(F.get("words", i - 1))).otherwise("").alias("before1"), F.when(i > 1, F.lower(F.get("words", i - 2))).otherwise("").alias("before2"),
-        )
+        return F.struct(start.alias("start"), F.get("words", i).alias("run"), word(i - 1).alias("before1"), word(i - 2).alias("before2"))
 
     held = held.withColumn("places", F.transform("spots", told))
 
+    def candidate(start: Column, token: Column, before1: Column, before2: Column, run: Column) -> Column:
+        end = start + F.length(token)
+        kind = F.get(F.transform(F.filter("base", lambda s: (s["start"] < end) & (s["end"] > start)), lambda s: s["kind"]), F.lit(0))
+        return F.struct(start.alias("start"), end.alias("end"), token.alias("token"), before1.alias("before1"), before2.alias("before2"), run.alias("run"), kind.alias("kind"))
+
+    def inner(c: Column) -> Column:
+        """The words of a run, each with the words before it."""
+        words = F.split(c["run"], JOIN, -1)
+
+        def told(w: Column, k: Column) -> Column:
+            start = c["start"] + F.aggregate(F.slice(words, 1, k), F.lit(0), lambda a, x: a + F.length(x) + 1)
+            before1 = F.when(k == 0, c["before1"]).otherwise(F.get(words, k - 1))
+            return candidate(start, w, before1, F.when(k == 0, c["before2"]).when(k == 1, c["before1"]).otherwise(F.get(words, k - 2)), c["start"])
+
+        return F.filter(F.transform(words, told), lambda x: x["token"].rlike(CANDIDATE) & x["kind"].isNull())
+
     def labelled(c: Column) -> Column:
-        kind = F.get(F.transform(F.filter("base", lambda s: (s["start"] < c["end"]) & (s["end"] > c["start"])), lambda s: s["kind"]), F.lit(0))
-        return F.struct(c["start"].alias("start"), c["end"].alias("end"), c["token"].alias("token"), c["before1"].alias("before1"), c["before2"].alias("before2"), kind.alias("kind"))
+        whole = F.filter(F.array(candidate(c["start"], F.translate(c["run"], JOIN, " "), c["before1"], c["before2"], c["start"])), lambda x: x["token"].rlike(CANDIDATE))
+        return F.when(F.contains(c["run"], F.lit(JOIN)), F.concat(whole, inner(c))).otherwise(whole)
 
-    return held.select("key", "doc_id", "base", F.transform("places", labelled).alias("seen"))
+    return held.select("key", "doc_id", "base", F.flatten(F.transform("places", labelled)).alias("seen"))
 
 
 def contexts(c: str = "c") -> Column:
@@ -150,8 +178,11 @@ def scan(docs: DataFrame, rounds: int = 3, confidence: float = 0.8, support: int
     """doc_id, base, spans of each row."""
     found = materialise(find(docs), "personal")
     good = bootstrap(found, rounds, confidence, support)
-    loose = found.select("key", F.explode(F.filter("seen", lambda c: c["kind"].isNull())).alias("c")).select("key", "c.start", "c.end", "c.token", F.explode(contexts()).alias("pattern"))
-    met = loose.join(good, "pattern").filter(fits("token", "kind")).groupBy("key", "start", "end").agg(F.max(F.struct("confidence", "support", "kind"))["kind"].alias("kind"))
+    loose = found.select("key", F.explode(F.filter("seen", lambda c: c["kind"].isNull())).alias("c")).select("key", "c.start", "c.end", "c.token", "c.run", F.explode(contexts()).alias("pattern"))
+    met = loose.join(good, "pattern").filter(fits("token", "kind")).groupBy("key", "run", "start", "end").agg(F.max(F.struct("confidence", "support", "kind"))["kind"].alias("kind"))
+    # A run that is a span holds the spans of its words.
+    longest = met.groupBy("key", "run").agg(F.max(F.when(F.col("start") == F.col("run"), F.col("end"))).alias("until"))
+    met = met.join(longest, ["key", "run"]).filter((F.col("start") == F.col("run")) & (F.col("end") == F.col("until")) | (F.col("start") >= F.coalesce("until", F.lit(0))))
     added = met.groupBy("key").agg(F.collect_list(F.struct(F.col("start"), F.col("end"), F.col("kind"))).alias("added"))
     whole = found.select("key", "doc_id", "base").join(added, "key", "left")
     return whole.select("doc_id", "base", in_order(F.concat("base", F.coalesce("added", F.array().cast(SPAN)))).alias("spans"))
