@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tideline.functions import entities
-from tideline.operators import books, filters, models, recurrent, registry
+from tideline.operators import books, calibration, filters, models, recurrent, registry
 from tideline.operators.recurrent import scan
 from tideline.plans import catalogue, views
 from tideline.sources import codecs
@@ -175,3 +175,14 @@ def test_likelihood_and_calibration(spark, sf):
     total = sum(s["ll"] for s in codecs.latest_state(filters.run_filter(views.kalman_ticks(spark, sf), LLT, start=catalogue.start_at_first)).collect())
     assert next(r["ll"] for r in rows if r["half_spread"] == 20.0) == pytest.approx(total, abs=0.01)
     assert models.build(LLT).motion.n == 2
+
+
+def test_calibrations_run_to_their_ends(spark, sf):
+    got = catalogue.QUERIES["maximum_likelihood"](spark, sf).collect()[0]
+    # A search to a hundredth of the query's tolerance tells where the maximum is.
+    best, ll = calibration.calibrate(views.kalman_ticks(spark, sf), LLT, calibration.Parameters({"half_spread": "log"}), tolerance=1e-8)
+    assert got["half_spread"] == pytest.approx(best["half_spread"], rel=1e-3) and got["ll"] == pytest.approx(ll, abs=0.011)
+    want = {r["symbol"]: r for r in calibration.em_by_key(views.user_ticks(spark, sf), catalogue.WALK, 30).collect()}
+    for r in catalogue.QUERIES["expectation_maximisation"](spark, sf).collect():
+        if r["q"] is not None:
+            assert [r["q"], r["r"], r["ll"]] == pytest.approx([want[r["symbol"]][k][0] if k != "ll" else want[r["symbol"]][k] for k in ("q", "r", "ll")], abs=1e-5)

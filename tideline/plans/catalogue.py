@@ -517,13 +517,13 @@ add("innovation_likelihood", likelihood_query)
 
 
 def calibration_query(spark: SparkSession, sf: str) -> DataFrame:
-    best, ll = calibration.calibrate(views.kalman_ticks(spark, sf), LLT, calibration.Parameters({"half_spread": "log"}), most=6)
+    best, ll = calibration.calibrate(views.kalman_ticks(spark, sf), LLT, calibration.Parameters({"half_spread": "log"}))
     return spark.createDataFrame([(round(best["half_spread"], 3), round(ll, 2))], "half_spread double, ll double")
 
 
 add("maximum_likelihood", calibration_query)
 WALK = {"motion": {"type": "random-walk", "sigma": 0.05}, "rows": [{"0": 1.0}], "variances": [400.0], "p0_diag": [400.0]}
-add("expectation_maximisation", lambda s, d: calibration.em_by_key(views.user_ticks(s, d), WALK, 3).select("symbol", F.round(F.get("q", 0), 6).alias("q"), F.round(F.get("r", 0), 6).alias("r"), F.round("ll", 6).alias("ll")))
+add("expectation_maximisation", lambda s, d: calibration.em_by_key(views.user_ticks(s, d), WALK).select("symbol", F.round(F.get("q", 0), 6).alias("q"), F.round(F.get("r", 0), 6).alias("r"), F.round("ll", 6).alias("ll")))
 
 
 def codec_query(spark: SparkSession, sf: str) -> DataFrame:
