@@ -471,6 +471,17 @@ def test_unseen_keys_are_found_however_many(spark):
         assert sum([s["kind"] for s in x] == ["access"] for x in got) >= 0.7 * n
 
 
+@pytest.mark.parametrize(("n", "share"), [(1, 0.5), (5, 0.8), (19, 0.9), (300, 0.98)])
+def test_few_examples_teach_too(spark, n, share):
+    r = random.Random(n)
+    key = lambda: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(16))
+    words = "with international considerations, see docs/readme-first.txt of 2024-01-15 at 192.168.100.200 or call 176555057012"
+    rows = [(k, f"use AKIA{key()} {words}") for k in range(n)] + [(1000 + k, f"use ASIA{key()} {words}") for k in range(100)]
+    got = {x["doc_id"]: x for x in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum([(s["start"], s["end"], s["kind"]) for s in got[1000 + k]["spans"]] == [(4, 24, "access")] for k in range(100)) >= 100 * share
+    assert all(s["end"] <= 24 for x in got.values() for s in x["spans"])
+
+
 def test_plain_text_is_counted_whole(monkeypatch):
     texts = ["ab 12, é_x\n", "", "abcdefghijk", "abcdefghijkl", "a.b " * 50]
     want = {}

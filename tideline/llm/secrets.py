@@ -6,7 +6,9 @@ base values, labelled by their kind, teach one probabilistic automaton per kind
 the least by hash). What is surely no credential, runs too short for a value of any kind, teaches the automaton of plain text: its
 states are the last two classes of characters, counted over all texts, so that no candidate has a part in it. Every candidate is
 then scored by every automaton; one that a kind's automaton likes as well as that kind's own examples, and clearly better than plain
-text does, becomes a span of that kind, unless it lies within another such.
+text does, becomes a span of that kind, unless it lies within another such. How well a kind's own values score is told from values
+that their automaton was not taught (each fold of the examples is scored by the automaton of the others); the bar lies below all of
+them, and the lower the fewer they are.
 
 Null texts count as empty and have no spans; very long texts are read whole; equal texts have equal spans; a kind without examples
 adds nothing; an empty table gives an empty result. Extra columns are ignored by ``scan`` and kept by ``redact``.
@@ -160,8 +162,17 @@ def find(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, base {SPANS}, more {SPANS}, plain array<long>")
 
 
+def bar(values: list[str], folds: int = 5) -> float:
+    """The least score of a kind's values: that of examples which the automaton was not taught, and less by what so few leave open."""
+    if len(values) == 1:
+        return Automaton(values).score(values[0]) - 1
+    folds = min(folds, len(values))
+    least = min(a.score(v) for k in range(folds) for a in [Automaton([v for at, v in enumerate(values) if at % folds != k])] for v in values[k::folds])
+    return min(least, *map(Automaton(values).score, values)) - 1 / len(values)
+
+
 def fit(found: DataFrame, examples: int = EXAMPLES) -> tuple[dict[str, tuple[Automaton, float]], Plain]:
-    """For each kind its automaton and the score that 95 of 100 examples reach; the automaton of plain text."""
+    """For each kind that has any example its automaton and the least score of its values; the automaton of plain text."""
     spans = found.select(F.explode("base").alias("s")).select("s.kind", "s.value")
     taught: dict[str, list[str]] = {}
     for kind in KINDS:
@@ -170,13 +181,7 @@ def fit(found: DataFrame, examples: int = EXAMPLES) -> tuple[dict[str, tuple[Aut
     counts = np.zeros(_N**3, np.int64)
     for at, n in found.select(F.posexplode("plain").alias("at", "n")).filter("n > 0").groupBy("at").agg(F.sum("n")).collect():
         counts[at] = n
-    made = {}
-    for kind in KINDS:
-        if len(taught[kind]) >= 20:
-            automaton = Automaton(taught[kind])
-            scores = sorted(map(automaton.score, taught[kind]))
-            made[kind] = (automaton, scores[len(scores) // 20])
-    return made, Plain(counts)
+    return {kind: (Automaton(values), bar(values)) for kind, values in taught.items() if values}, Plain(counts)
 
 
 def likely_kind(value: str, made: dict[str, tuple[Automaton, float]], plain: Plain, margin: float = 0.1) -> str | None:
