@@ -147,6 +147,14 @@ def test_runs_and_their_words(spark):
     ]
 
 
+def test_single_digits_and_long_tokens(spark):
+    seeds = [(k, f"please call +1 (234) 555-66{k:02d} now and mail via bob{k}.x@mail.example.com today") for k in range(12)]
+    long = f"{'jo' * 60}(at)mail@intranet"
+    new = [(100, "please call 1-7-6-5-5-5-0 now"), (101, f"and mail via {long} today"), (102, "999." * 2000 + " " + "a1" * 5000 + " please call")]
+    got = {r["doc_id"]: r["spans"] for r in personal_data.scan(spark.createDataFrame(seeds + new, "doc_id long, text string")).collect()}
+    assert [tuple(s) for s in got[100]] == [(12, 25, "phone")] and [tuple(s) for s in got[101]] == [(13, 13 + len(long), "email")] and not got[102]
+
+
 # ---- 3
 
 

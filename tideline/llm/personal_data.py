@@ -31,9 +31,11 @@ PATTERNS = {
 }
 #: What a text must hold for its pattern to be tried.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": r"\+[0-9]"}
-SHAPES = {"email": r"[^@]@[^@]", "ip": r"^[0-9]+([.:][0-9]+){3,}[^0-9]*$", "card": r"^[^0-9]*([0-9][\x20-]?){12,19}[^0-9]*$", "phone": r"^\+?[(]?([0-9][().-]*+\x20?+[(]?+){7,15}$"}
+SHAPES = {"email": r"[^@]@[^@]", "ip": r"^[0-9]++([.:][0-9]++){3,}+[^0-9]*$", "card": r"^[^0-9]*([0-9][\x20-]?){12,19}[^0-9]*$", "phone": r"^\+?[(]?([0-9][().-]*+\x20?+[(]?+){7,15}$"}
 PART = r"0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
-CANDIDATE = r"^(?=.*(?:[0-9].*){4}|.*[^@]@[^@]).{6,80}$"
+CANDIDATE = r"(?s)^(?=[^0-9]*+(?:[0-9][^0-9]*+){4}|.*[^@]@[^@]).{6}"
+#: What a text must hold for any of its words to be a candidate.
+GATE = r"(?:[0-9][^0-9]*+){4}|@"
 #: A group of digits that is a word, before a space and another group.
 GROUP = r"(?<![^\x20\x09-\x0D])([+(]*+[0-9][0-9().-]*+)\x20(?=[(]?[0-9][0-9().-]*+(?![A-Za-z_@]))"
 #: Stands for the spaces within runs; no text should hold this noncharacter, and where one does it only parts words.
@@ -99,7 +101,7 @@ def find(docs: DataFrame) -> DataFrame:
     for kind in KINDS:
         held = held.withColumn(kind, kind_spans(F.col("text"), kind))
     held = held.withColumn("base", in_order(F.concat(*KINDS))).drop(*KINDS)
-    gate = F.col("text").rlike("[0-9]{2}|@")
+    gate = F.col("text").rlike(GATE)
     joined_text = F.regexp_replace(F.translate("text", JOIN, " "), GROUP, f"$1{JOIN}")
 
     def part(runs: Column, at: Column) -> Column:
