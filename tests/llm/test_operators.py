@@ -176,7 +176,7 @@ def test_chat_round_trip(spark, none):
 # ---- 4
 
 
-def test_jaccard_by_brute_force(spark, docs, none):
+def test_jaccard_by_brute_force(spark, docs, none, monkeypatch):
     vocabulary = [f"v{k}" for k in range(400)]
     rows = [(r[0], r[1]) for r in ROWS[:-2]]
     passage = [random.choice(vocabulary) for _ in range(40)]
@@ -189,16 +189,34 @@ def test_jaccard_by_brute_force(spark, docs, none):
             rows.append((1000 + 10 * k + j, " ".join(other + (passage if k % 3 == 0 else []))))
     want = jaccard_join.brute(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit("x")).repartition(4)
-    for pairs in (64, 0):  # all open pairs at once, and by pivots first
-        before, jaccard_join.PAIRS_PER_POSTING = jaccard_join.PAIRS_PER_POSTING, pairs
-        try:
-            got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.join(df).collect()}
-        finally:
-            jaccard_join.PAIRS_PER_POSTING = before
+    for pivots, part in ((16, 2000), (1, 3)):  # few turns, and many over buckets in parts
+        monkeypatch.setattr(jaccard_join, "PIVOTS", pivots)
+        monkeypatch.setattr(jaccard_join, "BUCKET_PART", part)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.join(df).collect()}
         assert got == want
     assert jaccard_join.join(none).count() == 0
 
 
+def test_sets_that_share_64_bits_stay_apart(spark, monkeypatch):
+    names = jaccard_join._names
+    monkeypatch.setattr(jaccard_join, "_names", lambda tokens: (names(tokens)[0] % 3, names(tokens)[1]))
+    rows = [(k, " ".join(f"own{k}x{j}" for j in range(12))) for k in range(8)] + [(20, " ".join(f"own3x{j}" for j in range(12)))]
+    held, moved = jaccard_join.apart(spark.createDataFrame([(k, 8, *jaccard_join._names(np.array([hash(t)]))) for k, t in rows], "doc_id long, n_shingles long, node long, check long"))
+    assert held.select("node").distinct().count() == 8 and len(moved) >= 5
+    assert len({jaccard_join._node(np.array([hash(t)]), moved) for _, t in rows}) == 8
+
+
+def test_hot_keys_join_like_others(spark):
+    rows = spark.createDataFrame([(k, k % 7 if k % 3 else 99) for k in range(300)], "x long, key long")
+    few = rows.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.max("x").alias("most"))
+    want = {tuple(r) for r in rows.join(few, "key").select("x", "most").collect()}
+    for share in (0.0001, 0.2, 1.0):
+        jaccard_join.HOT_SHARE, before = share, jaccard_join.HOT_SHARE
+        got = [tuple(r) for r in jaccard_join.by_key(rows, few, "key", 300).select("x", "most").collect()]
+        jaccard_join.HOT_SHARE = before
+        assert len(got) == 300 and set(got) == want
+
+
 def test_shingle_edges():
     def sets(texts):
         raw = [t.encode() for t in texts]

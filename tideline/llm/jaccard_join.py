@@ -9,24 +9,27 @@ one order of all shingles, linked sets share a shingle among the first n - ceil(
 3. rarity among the sets that stay (then hash): shingles that one set alone holds come first and pair with none, passages
    that many share come last. Sets that share a prefix shingle, with fitting sizes and places, are candidates. Of such a pair the
    smaller set has the shingle in its first seventh, so common shingles make pairs only where they are nearly all that a set has.
-4. both hash orders again, for each candidate pair, before it is verified on the whole sets.
+4. the candidates are intersected with those of both hash orders: a pair stays only if its prefixes meet under each. Only
+what is left is verified on the whole sets.
 
 Every posting carries its set's parities: 512 bits, each the parity of the shingles that hash to it. Bits in which two sets differ are no more
 than the shingles in which they do, so pairs that differ in too many are no candidates. That drops no link.
 
-Equal sets are one node from the start. Within a shingle's bucket all nodes are first compared with one pivot; the links
-found make components, and only pairs across components still matter. Pivots are drawn anew while those pairs would be many more than
-the postings; then all of them are compared. So a group of n near copies costs about n comparisons and no link is lost.
+Equal sets are one node from the start. Within a shingle's bucket nodes are only ever compared with pivots, in turns. First there is one
+pivot in each bucket; the links found make components, and from then on only pairs across components matter: the pivots of a bucket are
+drawn from the nodes outside its main component. A pivot has met its whole bucket and leaves it, and each turn draws ``MORE_PIVOTS``
+times as many as the one before, so the turns end, at every size, with a logarithm of the largest bucket, and no link is lost. A
+group of n near copies costs about n comparisons. Large buckets are split into parts of ``BUCKET_PART`` nodes, each with all the pivots.
 
 Null and empty texts have empty sets and link with nothing; repeated rows are equal sets; texts of any length are read whole; a null
 doc_id takes part, and names a component only if all its rows have null ids; an empty table gives an empty result; other columns
-are ignored. Shingles and sets are told apart by 64-bit hashes.
+are ignored. Shingles are told apart by 64-bit hashes, sets by 128 bits.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +45,12 @@ from tideline.llm.shingles import shingle_sets
 SLICE = 1000
 #: A shingle that so many sets of a slice hold is counted there.
 COMMON = 8
-#: Rounds of pivots at most, and remaining pairs for each posting from which they go on.
-PIVOT_ROUNDS, PAIRS_PER_POSTING = 8, 64
+#: Pivots of a bucket in the second turn, and how many times as many the next one has.
+PIVOTS, MORE_PIVOTS = 16, 4
+#: Nodes of a bucket that one task compares with its pivots.
+BUCKET_PART = 2000
+#: A key that holds more than this share of the rows is joined apart: there are no more such keys than its inverse.
+HOT_SHARE = 0.001
 #: Labels of so many nodes (24 bytes each) are sent to every executor; beyond, they are joined by a shuffle.
 BROADCAST_NODES = 500_000
 
@@ -58,8 +65,16 @@ def spare(n):
     return 1 + n // 16
 
 
-def _node(tokens: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _names(tokens: np.ndarray) -> tuple[int, int]:
+    """128 bits that tell a set, as two longs."""
+    raw = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+    return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
+
+
+def _node(tokens: np.ndarray, moved: dict[tuple[int, int], int]) -> int:
+    """The first 64 bits; sets that share them with another one are in ``moved`` with an own number."""
+    both = _names(tokens)
+    return moved.get(both, both[0]) if moved else both[0]
 
 
 PARITIES = [f"s{k}" for k in range(8)]
@@ -79,14 +94,28 @@ def _sets(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[t
 
 
 def members(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node (null for an empty set)."""
+    """doc_id, n_shingles, node and check (128 bits of the set; null for an empty one)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets in _sets(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "n_shingles", "node"])
+            names = [_names(s) if len(s) else (None, None) for s in sets]
+            columns = [pa.array(x, pa.int64()) for x in ([len(s) for s in sets], *zip(*names, strict=True))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_shingles", "node", "check"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, node long, check long")
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, node long")
+
+def apart(held: DataFrame) -> tuple[DataFrame, dict[tuple[int, int], int]]:
+    """held without check, and the sets whose first 64 bits another set has, with the number they get instead: their other 64 bits.
+    Of n sets about n * n / 2 ** 65 are such: three of ten thousand million."""
+    ends = held.filter("node is not null").groupBy("node").agg(F.min("check").alias("least"), F.max("check").alias("most"))
+    shared = [r["node"] for r in ends.filter("least <> most").select("node").collect()]
+    if not shared:
+        return held.drop("check"), {}
+    rows = held.filter(F.col("node").isin(shared)).select("node", "check").distinct().collect()
+    moved = {(r["node"], r["check"]): r["check"] for r in rows}
+    return held.withColumn("node", F.when(F.col("node").isin(shared), F.col("check")).otherwise(F.col("node"))).drop("check"), moved
 
 
 def _prefix_postings(own: dict[int, np.ndarray], first: bool) -> pa.RecordBatch:
@@ -107,10 +136,13 @@ def _prefix_postings(own: dict[int, np.ndarray], first: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x) for x in (*rows, k)], names=["token", "node", "k"])
 
 
-def _text_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, sets in _sets(batches):
-        if own := {_node(s): s for s in sets if len(s)}:
-            yield _prefix_postings(own, True)
+def _text_postings(moved: dict) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, sets in _sets(batches):
+            if own := {_node(s, moved): s for s in sets if len(s)}:
+                yield _prefix_postings(own, True)
+
+    return run
 
 
 def _set_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,10 +188,9 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(told)), pa.array(np.concatenate(counts))], names=["node", "c"])
 
 
-def survivors(docs: DataFrame, held: DataFrame) -> DataFrame:
-    """node, n, rep: the nodes that share enough of their first prefix. held: members."""
-    counts = _counts(docs.select("text").mapInArrow(_text_postings, "token long, node long, k int"))
-    reps = held.filter("n_shingles > 0").groupBy("node").agg(F.first("n_shingles").alias("n"), F.min("doc_id").alias("rep"))
+def survivors(docs: DataFrame, reps: DataFrame, moved: dict) -> DataFrame:
+    """node, n, rep: the nodes that share enough of their first prefix. reps: each node with its size and least doc_id."""
+    counts = _counts(docs.select("text").mapInArrow(_text_postings(moved), "token long, node long, k int"))
     return reps.join(counts, "node").filter(ENOUGH).select("node", "n", "rep")
 
 
@@ -169,7 +200,7 @@ def second_survivors(sets: DataFrame) -> DataFrame:
     return sets.join(counts, "node").filter(ENOUGH).select("node", "n", "tokens", *PARITIES)
 
 
-def sets_of(docs: DataFrame, live: DataFrame) -> DataFrame:
+def sets_of(docs: DataFrame, live: DataFrame, moved: dict) -> DataFrame:
     """node, n, tokens (ascending, as bytes) and parities of the live nodes, from the text of the document with the least id."""
     wanted = live.select("rep", F.col("node").alias("want"))
     wanted = F.broadcast(wanted) if live.count() <= BROADCAST_NODES else wanted
@@ -178,7 +209,7 @@ def sets_of(docs: DataFrame, live: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets in _sets(batches):
             want = batch.column(batch.schema.get_field_index("want")).to_pylist()
-            kept = [(w, len(s), s.tobytes(), *parities(s)) for w, s in zip(want, sets, strict=True) if len(s) and _node(s) == w]
+            kept = [(w, len(s), s.tobytes(), *parities(s)) for w, s in zip(want, sets, strict=True) if len(s) and _node(s, moved) == w]
             columns = list(zip(*kept, strict=True)) or [()] * (3 + len(PARITIES))
             types = [pa.int64(), pa.int64(), pa.binary()] + [pa.int64()] * len(PARITIES)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["node", "n", "tokens", *PARITIES])
@@ -220,26 +251,38 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return rows.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def prefixes(sets: DataFrame) -> DataFrame:
+    """node, up, down: each set's prefixes under both hash orders."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole = [np.frombuffer(s.as_buffer(), np.int64) for s in batch.column(1)]
+            first = [len(s) - need(len(s)) + 1 for s in whole]
+            kind = pa.list_(pa.int64())
+            up, down = (pa.array([s[:m] if k else s[-m:] for s, m in zip(whole, first, strict=True)], kind) for k in (1, 0))
+            yield pa.RecordBatch.from_arrays([batch.column(0), up, down], names=["node", "up", "down"])
+
+    return sets.select("node", "tokens").mapInArrow(run, "node long, up array<long>, down array<long>")
+
+
+def intersect(pairs: DataFrame, sides: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are candidates under both hash orders, too. sides: prefixes."""
+    left, right = (sides.select(F.col("node").alias(k), F.col("up").alias(f"up_{k}"), F.col("down").alias(f"down_{k}")) for k in "ab")
+    both = pairs.join(right, "b").join(left, "a")
+    return both.filter(F.arrays_overlap("up_a", "up_b") & F.arrays_overlap("down_a", "down_b")).select("a", "b")
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
-        for k, (s, t) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+        for s, t in zip(batch.column(2), batch.column(3), strict=True):
             keep.append(linked(np.frombuffer(s.as_buffer(), np.uint64), np.frombuffer(t.as_buffer(), np.uint64)))
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
-def _common(s: np.ndarray, t: np.ndarray) -> int:
-    at = np.searchsorted(t, s)
-    at[at == len(t)] = 0
-    return int((t[at] == s).sum()) if len(t) else 0
-
-
 def linked(s: np.ndarray, t: np.ndarray) -> bool:
-    """Both hash orders' prefixes must meet; then the whole sets count."""
-    p, q = len(s) - need(len(s)) + 1, len(t) - need(len(t)) + 1
-    if not _common(s[:p], t[:q]) or not _common(s[-p:], t[-q:]):
-        return False
-    both = _common(s, t)
+    """By the whole sets, both ascending."""
+    both = len(s) + len(t) - len(np.union1d(s, t))
     return 100 * both >= 75 * (len(s) + len(t) - both)
 
 
@@ -250,60 +293,91 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "s", "t").mapInArrow(_verify, "a long, b long")
 
 
+def by_key(rows: DataFrame, few: DataFrame, key: str, total: int) -> DataFrame:
+    """rows (a written table) with the columns of few, which has one row for each key and its number of rows as ``held``. Keys that hold
+    more than HOT_SHARE of the total, fewer than its inverse, are broadcast; all others are joined by a shuffle, where no key is large."""
+    hot = F.broadcast(few.filter(F.col("held") > HOT_SHARE * total).drop("held"))
+    cold = few.filter(F.col("held") <= HOT_SHARE * total).drop("held")
+    return rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(cold, key))
+
+
+def _named(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The postings with the component of each node."""
+    if labels is None:
+        return postings.withColumn("label", F.col("node"))
+    labels = F.broadcast(labels) if labels.count() <= BROADCAST_NODES else labels
+    return postings.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def _turn(postings: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
+    """The nodes of all buckets that have pairs left, each with its bucket's main component, whether it is a pivot of this turn,
+    and into how many parts its bucket goes.
+
+    A pair is of an early node and another one, in two components. All but the main component's nodes are pivots in time,
+    so every pair has a pivot; in the first turn, when each node is a component, any early node is."""
+    named = _named(postings, labels).withColumn("h", F.xxhash64("node", F.lit(turn)))
+    one = F.struct("h", "node", "label")
+    buckets = named.groupBy("token").agg(
+        F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("all"), F.max("early").alias("any_early"),
+        F.min(F.when(F.col("early"), one)).alias("one"),
+    ).filter("least <> most and any_early")
+    buckets = buckets.select("token", "all", F.col("one.node").alias("chosen"), F.col("one.label").alias("main"))
+    rows = named.join(buckets, "token")
+    if turn == 0:
+        pivot = F.col("node") == F.col("chosen")
+    else:
+        # As many as wanted of those outside the main component, by their hashes; the whole bucket bounds their number.
+        share = PIVOTS * MORE_PIVOTS ** (turn - 1) / F.col("all")
+        pivot = (F.col("label") != F.col("main")) & ((share >= 1) | (F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)))
+    return rows.withColumns({"pivot": pivot, "parts": F.ceil(F.col("all") / BUCKET_PART).cast("int")}).drop("all", "chosen", "h")
+
+
 def links(sets: DataFrame, trace: list | None = None) -> DataFrame | None:
-    """node, label: the components of the sets; None if no two link."""
+    """node, label: the components of the sets; None if no two link. trace gets the open postings, pairs and links of each turn."""
     postings = materialise(rare_prefixes(sets), "postings")
-    n_postings = postings.count()
+    sides = materialise(prefixes(sets), "prefixes")
+    names = postings.columns
     labels = edges = None
-    for turn in range(PIVOT_ROUNDS + 1):
-        if labels is None:
-            named = postings.withColumns({"label": F.col("node"), "nodes": F.lit(1).cast("long")})
-        else:
-            sizes = labels.join(labels.groupBy("label").agg(F.count(F.lit(1)).alias("nodes")), "label")
-            small = labels.count() <= BROADCAST_NODES
-            named = postings.join(F.broadcast(sizes) if small else sizes, "node", "left").withColumns({"label": F.coalesce("label", "node"), "nodes": F.coalesce("nodes", F.lit(1).cast("long"))})
-        # A bucket is open if an early node has others of another component. Its pivot is an early node, drawn anew each turn.
-        one = F.when(F.col("early"), F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("place").alias("py"), F.col("label").alias("ly"), F.col("sig").alias("sy")))
-        buckets = named.groupBy("token").agg(F.max(F.struct("nodes", "label"))["label"].alias("main"), F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("all"), F.sum(F.col("early").cast("long")).alias("first"), F.min(one).alias("one"))
-        buckets = buckets.filter("least <> most and first > 0").select("token", "main", "all", "first", "one.y", "one.ny", "one.py", "one.ly", "one.sy")
-        open_rows = materialise(named.join(buckets, "token"), "open")
-        # Pairs of an early node and another one, of which one at least is outside the bucket's main component.
-        left = open_rows.filter("label <> main").agg(F.sum(F.col("first") + F.when(F.col("early"), F.col("all")).otherwise(0))).first()[0] or 0
+    turn = 0
+    while True:
+        open_rows = materialise(_turn(postings, labels, turn), "open")
+        if open_rows.isEmpty():
+            return labels
+        part = F.pmod(F.xxhash64(F.lit("part"), "node"), "parts").cast("int")
+        pivots = open_rows.filter("pivot").select("token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("place").alias("py"), F.col("early").alias("ey"), F.col("label").alias("ly"), F.col("sig").alias("sy"))
+        met = open_rows.withColumn("part", part).join(pivots, ["token", "part"])
+        near = met.filter((F.col("label") != F.col("ly")) & (F.col("early") | F.col("ey")) & _fitting(F.col("n"), F.col("place"), F.col("sig"), F.col("ny"), F.col("py"), F.col("sy")))
+        pairs = materialise(_pairs(near.withColumnRenamed("node", "x")), "pairs")
+        found = materialise(verify(materialise(intersect(pairs, sides), "intersected"), sets), "links")
         if trace is not None:
-            trace.append((n_postings, left))
-        if not left:
-            break
-        last = left <= PAIRS_PER_POSTING * max(n_postings, 500_000) or turn == PIVOT_ROUNDS
-        if last:
-            rows = open_rows.drop("y", "ny", "py", "ly", "sy", "all", "first")
-            early = open_rows.filter("early").select("token", "main", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("place").alias("py"), F.col("label").alias("ly"), F.col("sig").alias("sy"))
-            outer = rows.join(early.filter("ly <> main").drop("main"), "token").unionByName(rows.filter("label <> main").join(early.filter("ly = main").drop("main"), "token"))
-        else:
-            outer = open_rows
-        near = outer.filter((F.col("label") != F.col("ly")) & _fitting(F.col("n"), F.col("place"), F.col("sig"), F.col("ny"), F.col("py"), F.col("sy")))
-        found = materialise(verify(_pairs(near.withColumnRenamed("node", "x")), sets), "links")
-        if last and found.isEmpty():
-            break
-        edges = found if edges is None else edges.unionByName(found)
-        labels = components(edges)
-        if last:
-            break
-    return labels
+            trace.append((open_rows.count(), pairs.count(), found.count()))
+        if not found.isEmpty():
+            edges = found if edges is None else edges.unionByName(found)
+            labels = components(edges)
+        postings = open_rows.filter("not pivot").select(*names)
+        turn += 1
 
 
 def join(docs: DataFrame, trace: list | None = None) -> DataFrame:
     """doc_id, n_shingles, node, component_id of each row."""
-    held = materialise(members(docs), "members")
-    live = materialise(survivors(docs, held), "live")
-    sets = materialise(second_survivors(materialise(sets_of(docs, live), "first-sets")), "sets")
+    held, moved = apart(materialise(members(docs), "members"))
+    reps = held.filter("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n"), F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("held"))
+    reps = materialise(reps, "nodes")
+    live = materialise(survivors(docs, reps, moved), "live")
+    sets = materialise(second_survivors(materialise(sets_of(docs, live, moved), "first-sets")), "sets")
     labels = links(sets, trace)
     if labels is None:
-        named = held.withColumn("label", F.col("node"))
+        named = reps.select("node", F.col("rep").alias("component_id"), "held")
     else:
-        named = held.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = named.select("doc_id", "n_shingles", "node", "label")
-    least = named.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return named.join(least, "label", "left").select("doc_id", "n_shingles", "node", F.coalesce("component_id", "doc_id").alias("component_id"))
+        # Each node's label, then each label's least doc_id: a node is one row here, and hot labels are joined apart.
+        told = materialise(reps.join(labels, "node").select("node", "label", "rep", "held"), "labelled")
+        least = told.groupBy("label").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("held"))
+        linked_nodes = by_key(told.withColumnRenamed("held", "copies"), materialise(least, "least"), "label", told.count()).select("node", "component_id", F.col("copies").alias("held"))
+        named = reps.join(linked_nodes.select("node"), "node", "left_anti").select("node", F.col("rep").alias("component_id"), "held").unionByName(linked_nodes)
+    rows = held.select("doc_id", "n_shingles", "node")
+    known = by_key(rows.filter("node is not null"), materialise(named, "components"), "node", rows.count())
+    done = known.unionByName(rows.filter("node is null").withColumn("component_id", F.col("doc_id")))
+    return done.select("doc_id", "n_shingles", "node", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def jaccard_query(spark: SparkSession, sf_dir: str) -> DataFrame:
