@@ -1,5 +1,6 @@
 """Pinned values, degenerate cases and plain re-implementations."""
 
+import copy
 import math
 
 import numpy as np
@@ -7,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tideline.functions import book
-from tideline.operators import bars, cross, recurrent, rolling
+from tideline.operators import bars, cross, recurrent, rolling, trend_filters
 from tideline.operators.recurrent import scan
+from tideline.plans import catalogue
 
 CLOSES = [44.34, 44.09, 44.15, 43.61, 44.33, 44.83, 45.10, 45.42, 45.84, 46.08, 45.89, 46.03, 45.61, 46.28, 46.28, 46.00]
 
@@ -183,3 +185,30 @@ def test_empty_series(spark):
     assert rolling.normalized_price(none, 50).count() == 0
     assert scan(none, lambda: recurrent.Macd()).count() == 0
     assert bars.time_bars(none, 60).count() == 0
+
+
+def test_bad_ticks_are_undefined_and_change_no_state(spark):
+    kernels = [recurrent.MovingAverage("ema", 3), recurrent.Rsi(3), recurrent.Macd(2, 3, 2), recurrent.EwmaVolatility(0.9), recurrent.TimedEma(1.0), recurrent.TimedMacd(1.0, 2.0, 1.0), trend_filters.TrendFilter(0.1, 1.0), trend_filters.FilteredDerivative(0.01, None, 4)]
+    good = [10.0, 11.0, 10.5, 12.0, 11.0, 13.0, 12.5, 12.0, 14.0, 13.0]
+    for kernel in kernels:
+        make = lambda k=kernel: copy.deepcopy(k)
+        plain = [r.asDict() for r in scan(series(spark, good), make).orderBy("seq").collect()]
+        for odd in (None, float("nan")):
+            mixed = [x for p in good for x in (p, odd)]
+            rows = [("a", 2 * (k // 2 + 1) * 1_000_000_000, k, p) for k, p in enumerate(mixed)]
+            got = scan(spark.createDataFrame(rows, "symbol string, ts_ns long, seq long, price double"), make).orderBy("seq").collect()
+            clean = scan(spark.createDataFrame([r for k, r in enumerate(rows) if k % 2 == 0], "symbol string, ts_ns long, seq long, price double"), make).orderBy("seq").collect()
+            for name in kernel.outputs:
+                assert [r[name] for r in got[::2]] == [r[name] for r in clean]
+                assert kernel.takes_gaps or all(r[name] is None for r in got[1::2])
+        assert len(plain) == len(good)
+    zero = column(scan(series(spark, [1, 0, 2, -3, 1]), lambda: recurrent.EwmaVolatility(0.5)), "ewma_volatility")
+    assert [zero[k] for k in (0, 1, 3)] == [None] * 3 and zero[2] == pytest.approx(math.log(2)) and zero[4] == pytest.approx(math.log(2))
+
+
+def test_queries_bear_zero_negative_and_missing_prices(spark, tmp_path):
+    sf = "/root/testdata/sf0.001"
+    odd = F.when(F.col("event_id") % 41 == 0, 0.0).when(F.col("event_id") % 43 == 0, -F.col("value")).when(F.col("event_id") % 47 == 0, None).otherwise(F.col("value"))
+    spark.read.parquet(f"{sf}/events.parquet").withColumn("value", odd).write.parquet(str(tmp_path / "events.parquet"))
+    for name in ("ewma_volatility", "stochastic_volatility", "time_varying_beta", "normalized_z", "price_delta", "ema", "rsi_wilder", "macd", "macd_timed", "kalman_llt", "kalman_form_ud", "filtered_derivative", "rsi_lagged", "realized_volatility", "range_volatility"):
+        assert catalogue.QUERIES[name](spark, str(tmp_path)).count() if name in catalogue.QUERIES else True, name

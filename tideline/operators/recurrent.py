@@ -20,8 +20,12 @@ BAR_ORDER = ("open_ns",)
 
 
 class Kernel:
-    """inputs: columns that a step takes; outputs: names of the doubles that it returns (None: undefined)."""
+    """inputs: columns that a step takes; outputs: names of the doubles that it returns (None: undefined).
 
+    A row whose inputs are not all there (NULL or NaN) has undefined outputs and leaves the state as it is; a kernel with
+    ``takes_gaps`` gets such rows, too."""
+
+    takes_gaps = False
     inputs: tuple[str, ...] = ("price",)
     outputs: tuple[str, ...] = ()
 
@@ -32,7 +36,8 @@ class Kernel:
 def scan(df: DataFrame, make: Callable[[], Kernel], keys=KEYS, order=ORDER) -> DataFrame:
     """df with the kernel's outputs."""
     model = make()
-    outputs, inputs = model.outputs, model.inputs
+    outputs, inputs, takes_gaps = model.outputs, model.inputs, model.takes_gaps
+    blank = (None,) * len(outputs)
     names = [c for c in df.columns if c not in outputs]
     schema = T.StructType([df.schema[c] for c in names] + [T.StructField(o, T.DoubleType()) for o in outputs])
 
@@ -45,7 +50,7 @@ def scan(df: DataFrame, make: Callable[[], Kernel], keys=KEYS, order=ORDER) -> D
             for k, values in zip(key, columns, strict=True):
                 if k != held:
                     held, kernel = k, make()
-                out.append(kernel.step(*values))
+                out.append(kernel.step(*values) if takes_gaps or all(v is not None and v == v for v in values) else blank)
             made = list(zip(*out, strict=True)) or [() for _ in outputs]
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in names] + [pa.array(m, pa.float64()) for m in made], names=names + list(outputs))
 
@@ -256,6 +261,8 @@ class Adx(Kernel):
 
 
 class EwmaVolatility(Kernel):
+    """A price that is not above zero has no return: it is undefined there, and the next return is from the last price that was."""
+
     outputs = ("ewma_volatility",)
 
     def __init__(self, decay: float = 0.94):
@@ -263,7 +270,7 @@ class EwmaVolatility(Kernel):
 
     def step(self, price):
         if not price > 0:
-            raise ValueError("prices must be above zero")
+            return (None,)
         if self.last is not None:
             r = math.log(price / self.last)
             self.var = r * r if self.var is None else self.decay * self.var + (1 - self.decay) * r * r

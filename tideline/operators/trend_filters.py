@@ -87,6 +87,7 @@ class SteadyTrend(Kernel):
 class FilteredDerivative(Kernel):
     """The rate of a series by a trend filter whose noises come from the first ``calibration`` differences."""
 
+    takes_gaps = True
     inputs, outputs = ("ts_ns", "price"), ("rate", "level", "rate_std", "level_std", "t_stat")
 
     def __init__(self, tracking: float = 0.01, noise: float | None = None, calibration: int = 50):
