@@ -261,6 +261,14 @@ def test_parameters_and_minimum():
     assert again["motion"]["sigma"] == pytest.approx(2) and again["variances"] == pytest.approx([4]) and np.allclose(again["cov"], config["cov"])
     best, value = calibration.minimise(lambda points: [float((q[0] - 1) ** 2 + 10 * (q[1] + 2) ** 2) for q in points], calibration.spread_starts(np.zeros(2), 3))
     assert np.allclose(best, [1, -2], atol=1e-2) and value < 1e-4
+    starts = calibration.spread_starts(np.array([3.0, -1.0]), 5, 2.0)
+    assert len(starts) == 5 and np.array_equal(starts[0], [3, -1]) and all(np.abs(s - starts[0]).max() <= 2 for s in starts)
+    valley = lambda points: [float(100 * (q[1] - q[0] ** 2) ** 2 + (1 - q[0]) ** 2) if q[0] > -3 else math.inf for q in points]
+    assert calibration.minimise(valley, starts, tolerance=1e-10, most=4000)[1] < 0.05
+    asked = []
+    calibration.minimise(lambda points: asked.append(len(points)) or [float(abs(q[0] - 0.3)) for q in points], [np.zeros(1)], most=7)
+    assert len(asked) <= 7 and max(asked) <= 3
+    assert calibration.minimise(lambda points: [math.inf] * len(points), [np.zeros(2)], most=20)[1] == math.inf
 
 
 def test_em_raises_the_likelihood_and_finds_noise():

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import copy
 import math
-from collections.abc import Callable, Generator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -59,65 +59,64 @@ class Parameters:
         return config
 
 
-def nelder_mead(start: np.ndarray, step: float = 0.5, tolerance: float = 1e-6, most: int = 500) -> Generator[list[np.ndarray], list[float], tuple[np.ndarray, float]]:
-    """Minimises: yields points to be evaluated together and is sent their values. Reflection, expansion and both contractions go as one round."""
-    n = len(start)
-    points = [np.array(start, float)] + [np.array(start, float) + step * np.eye(n)[k] for k in range(n)]
-    values = list((yield list(points)))
+class Poll:
+    """A direct search from one start (generalised pattern search with a quadratic model).
+
+    Each round asks for both neighbours on every axis and for the bottom of the parabolas that the last round's values gave; the best
+    of all becomes the centre. The mesh is refined where the centre stays, and widened where a neighbour beat it."""
+
+    def __init__(self, start: np.ndarray, step: float, tolerance: float):
+        self.centre, self.value = np.array(start, float), math.inf
+        self.mesh, self.tolerance, self.guess, self.done = step, tolerance, np.array(start, float), False
+
+    def asks(self) -> list[np.ndarray]:
+        sides = self.mesh * np.eye(len(self.centre))
+        return [*(self.centre + sides), *(self.centre - sides)] + ([] if self.guess is None else [self.guess])
+
+    def takes(self, points: list[np.ndarray], values: list[float]) -> None:
+        n, was = len(self.centre), self.value
+        if not math.isfinite(was) and np.array_equal(points[-1], self.centre):  # the first round also asks for the centre itself
+            self.value = was = values[-1]
+        up, down = np.array(values[:n]), np.array(values[n : 2 * n])
+        bottom = None
+        if math.isfinite(was) and np.isfinite(up).all() and np.isfinite(down).all():
+            bend = up + down - 2 * was
+            slope = np.where(bend > 0, (down - up) / (2 * np.where(bend > 0, bend, 1)), np.sign(down - up))
+            bottom = self.centre + self.mesh * np.clip(slope, -2, 2)
+        best = int(np.argmin(values))
+        if values[best] < self.value:
+            near = best >= 2 * n and np.abs(points[best] - self.centre).max() < self.mesh
+            self.centre, self.value = points[best], values[best]
+            if near:
+                self.mesh /= 2
+        else:
+            self.mesh /= 4
+        settled = abs(was - self.value) <= self.tolerance * (1 + abs(self.value))
+        self.done = self.mesh <= math.sqrt(self.tolerance) / 2 and settled
+        self.guess = None if bottom is None or np.array_equal(bottom, self.centre) else bottom
+
+
+def minimise(evaluate: Callable[[list[np.ndarray]], list[float]], starts: list[np.ndarray], step: float = 0.5, tolerance: float = 1e-6, most: int = 500) -> tuple[np.ndarray, float]:
+    """The least value found from any start, and where: each round evaluates what all searches ask for at once, for ``most`` rounds at most."""
+    searches = [Poll(s, step, tolerance) for s in starts]
     for _ in range(most):
-        order = np.argsort(values, kind="stable")
-        points, values = [points[k] for k in order], [values[k] for k in order]
-        if abs(values[-1] - values[0]) <= tolerance * (1 + abs(values[0])) and max(np.abs(p - points[0]).max() for p in points) <= math.sqrt(tolerance):
+        live = [s for s in searches if not s.done]
+        if not live:
             break
-        centre = np.mean(points[:-1], axis=0)
-        tried = [centre + c * (points[-1] - centre) for c in (-1.0, -2.0, -0.5, 0.5)]
-        reflect, expand, outside, inside = yield tried
-        if values[0] <= reflect < values[-2]:
-            new = (tried[0], reflect)
-        elif reflect < values[0]:
-            new = (tried[1], expand) if expand < reflect else (tried[0], reflect)
-        elif reflect < values[-1] and outside <= reflect:
-            new = (tried[2], outside)
-        elif reflect >= values[-1] and inside < values[-1]:
-            new = (tried[3], inside)
-        else:
-            points = [points[0]] + [points[0] + 0.5 * (p - points[0]) for p in points[1:]]
-            values = [values[0], *(yield points[1:])]
-            continue
-        points[-1], values[-1] = new
-    best = int(np.argmin(values))
-    return points[best], values[best]
-
-
-def minimise(evaluate: Callable[[list[np.ndarray]], list[float]], starts: list[np.ndarray], **options) -> tuple[np.ndarray, float]:
-    """Simplexes from several starts in lock step: each round evaluates all their points at once."""
-    runs = [nelder_mead(s, **options) for s in starts]
-    asked = {k: next(r) for k, r in enumerate(runs)}
-    done: list[tuple[np.ndarray, float]] = []
-    while asked:
-        flat = [p for points in asked.values() for p in points]
-        values = evaluate(flat)
-        following, at = {}, 0
-        for k, points in asked.items():
-            try:
-                following[k] = runs[k].send(values[at : at + len(points)])
-            except StopIteration as end:
-                done.append(end.value)
-            at += len(points)
-        asked = following
-    return min(done, key=lambda d: d[1])
-
-
-def spread_starts(theta: np.ndarray, n: int, width: float = 1.0, seed: int = 12345) -> list[np.ndarray]:
-    """The start and n - 1 others around it, by a fixed linear congruence."""
-    out, state = [np.array(theta, float)], seed
-    for _ in range(n - 1):
-        moves = []
-        for _ in range(len(theta)):
-            state = (1103515245 * state + 12345) % (1 << 31)
-            moves.append(width * (2 * state / (1 << 31) - 1))
-        out.append(theta + np.array(moves))
-    return out
+        asked = [s.asks() for s in live]
+        values = iter(evaluate([p for points in asked for p in points]))
+        for search, points in zip(live, asked, strict=True):
+            search.takes(points, [next(values) for _ in points])
+    best = min(searches, key=lambda s: s.value)
+    return best.centre, best.value
+
+
+def spread_starts(theta: np.ndarray, n: int, width: float = 1.0, seed: int = 0) -> list[np.ndarray]:
+    """The start and n - 1 others around it: a Latin hypercube, one in each layer of every axis."""
+    random = np.random.default_rng(seed)
+    layers = np.stack([random.permutation(n - 1) for _ in theta], 1) if n > 1 else np.zeros((0, len(theta)))
+    moves = 2 * (layers + random.random(layers.shape)) / max(1, n - 1) - 1
+    return [np.array(theta, float), *(np.asarray(theta, float) + width * moves)]
 
 
 def log_likelihoods(ticks: DataFrame, config: dict, parameters: Parameters, thetas: list[np.ndarray], keys=KEYS, order=ORDER, first_value: bool = True) -> list[float]:
@@ -226,6 +225,17 @@ def em_by_key(ticks: DataFrame, config: dict, rounds: int = 30, keys=KEYS, order
     return ticks.groupBy(*keys).applyInPandas(run, f"{kinds}, q array<double>, r array<double>, ll double")
 
 
+def backtest_report(steps: DataFrame, keys=KEYS, order=ORDER) -> DataFrame:
+    """A row per key from the steps of a filter (run_filter): steps, readings, rejected, mean_nis and ll of the whole series. All of
+    it are sums, so a series of any length is reported without being held."""
+    told = steps.select(*keys, F.struct(*order).alias("__at"), "ll", "outcomes")
+    seen = F.filter("outcomes", lambda o: o["w"] > 0)
+    nis = F.aggregate(seen, F.lit(0.0), lambda a, o: a + o["y"] * o["y"] / o["s"])
+    told = told.withColumns({"__seen": F.size(seen), "__nis": nis, "__all": F.size("outcomes")})
+    sums = told.groupBy(*keys).agg(F.count(F.lit(1)).alias("steps"), F.sum("__all").alias("readings"), F.sum(F.col("__all") - F.col("__seen")).alias("rejected"), F.sum("__nis").alias("__nis"), F.sum("__seen").alias("__seen"), F.max_by("ll", "__at").alias("ll"))
+    return sums.withColumn("mean_nis", F.when(F.col("__seen") > 0, F.col("__nis") / F.when(F.col("__seen") > 0, F.col("__seen")))).drop("__nis", "__seen")
+
+
 def backtest(config: dict, ts_ns: list[int], values: list[dict[int, float]], truth: np.ndarray | None = None, most_lag: int = 20) -> dict:
     """Likelihood, mean nis, and, if the true states are known, nees, errors filtered and smoothed, and the lag of the filtered first state."""
     kalman, steps, nis = make_filter(config), [], []
