@@ -15,6 +15,7 @@ from tideline.operators import bars as clocks
 from tideline.operators import calibration, cross, diagnostics, filters, models, recurrent, rolling, smoothing, trend_filters
 from tideline.operators.recurrent import scan
 from tideline.plans import views
+from tideline.plans.frames import ln, ratio
 from tideline.plans.views import BARS, DAILY, LEVELS, TICKS, TRADES, USERS
 from tideline.sources import codecs
 
@@ -84,6 +85,11 @@ add(
 # ---- momentum
 
 CHANGES = f"{TICKS}, c AS (SELECT *, price - lag(price) {over()} AS ch FROM ticks)"
+LAGGED = f"{TICKS}, c AS (SELECT *, price - lag(price, 5) {over()} AS ch FROM ticks)"
+add(
+    "rsi_lagged", lambda s, d: out(rolling.rsi_sma(views.ticks(s, d), 14, 5), ROW, ("rsi", "avg_gain", "avg_loss")),
+    sql(f"{LAGGED}, m AS (SELECT *, {mean_sql('greatest(ch, 0) + 0 * ch', 14)} AS g, {mean_sql('greatest(-ch, 0) + 0 * ch', 14)} AS l FROM c)", "m", ROW, {"rsi": "CASE WHEN g + l > 0 THEN 100 * g / (g + l) WHEN g IS NOT NULL THEN 50 END", "avg_gain": "g", "avg_loss": "l"}),
+)
 add(
     "rsi_sma", lambda s, d: out(rolling.rsi_sma(views.ticks(s, d), 14), ROW, ("rsi", "avg_gain", "avg_loss")),
     sql(f"{CHANGES}, m AS (SELECT *, {mean_sql('greatest(ch, 0) + 0 * ch', 14)} AS g, {mean_sql('greatest(-ch, 0) + 0 * ch', 14)} AS l FROM c)", "m", ROW, {"rsi": "CASE WHEN g + l > 0 THEN 100 * g / (g + l) WHEN g IS NOT NULL THEN 50 END", "avg_gain": "g", "avg_loss": "l"}),
@@ -130,7 +136,12 @@ add("rsi_wilder", lambda s, d: out(scan(views.user_ticks(s, d), lambda: recurren
 RSI_TIMED = f"""{USERS}, a_r AS (SELECT symbol, rn, ts_ns, price, 0.0::DOUBLE AS g, 0.0::DOUBLE AS l, 0.0::DOUBLE AS el FROM users WHERE rn = 1 UNION ALL
 SELECT t.symbol, t.rn, t.ts_ns, t.price, r.g + (1 - exp(-greatest((t.ts_ns - r.ts_ns) / 1e9, 0) / {DAY})) * (greatest(t.price - r.price, 0) - r.g), r.l + (1 - exp(-greatest((t.ts_ns - r.ts_ns) / 1e9, 0) / {DAY})) * (greatest(r.price - t.price, 0) - r.l), r.el + greatest((t.ts_ns - r.ts_ns) / 1e9, 0) FROM a_r r JOIN users t ON t.symbol = r.symbol AND t.rn = r.rn + 1)"""
 add("rsi_wilder_timed", lambda s, d: out(scan(views.user_ticks(s, d), lambda: recurrent.TimedRsi(DAY)), ROW, ("rsi",)), sql(RSI_TIMED, joined("users", "a"), TROW, {"rsi": f"CASE WHEN a.el >= {DAY} THEN CASE WHEN a.g + a.l > 0 THEN 100 * a.g / (a.g + a.l) ELSE 50 END END"}, True))
-add("macd_timed", lambda s, d: out(scan(views.user_ticks(s, d), lambda: recurrent.TimedMacd(DAY / 2, DAY, DAY / 3)), ROW, ("macd", "macd_signal", "macd_histogram")))
+MACD_TIMED = f"""{USERS}, {timed('f', DAY / 2)}, {timed('w', DAY)}, line AS (SELECT f.symbol, f.ts_ns, f.rn AS own, f.v - w.v AS line, row_number() OVER (PARTITION BY f.symbol ORDER BY f.rn) AS rn FROM f_r f JOIN w_r w ON w.symbol = f.symbol AND w.rn = f.rn WHERE f.el >= {DAY / 2} AND w.el >= {DAY}),
+h_r AS (SELECT symbol, own, rn, ts_ns, line AS v, 0.0::DOUBLE AS el FROM line WHERE rn = 1
+UNION ALL SELECT t.symbol, t.own, t.rn, t.ts_ns, CASE WHEN t.ts_ns > r.ts_ns THEN r.v + (1 - exp(-((t.ts_ns - r.ts_ns) / 1e9) / {DAY / 3})) * (t.line - r.v) ELSE r.v END, r.el + greatest((t.ts_ns - r.ts_ns) / 1e9, 0) FROM h_r r JOIN line t ON t.symbol = r.symbol AND t.rn = r.rn + 1),
+g_r AS (SELECT symbol, own AS rn, v, el FROM h_r)"""
+MACD_LINE, MACD_SIGNAL = f"CASE WHEN f.el >= {DAY / 2} AND w.el >= {DAY} THEN f.v - w.v END", f"CASE WHEN g.el >= {DAY / 3} THEN g.v END"
+add("macd_timed", lambda s, d: out(scan(views.user_ticks(s, d), lambda: recurrent.TimedMacd(DAY / 2, DAY, DAY / 3)), ROW, ("macd", "macd_signal", "macd_histogram")), sql(MACD_TIMED, joined("users", "f", "w", "g") , TROW, {"macd": MACD_LINE, "macd_signal": MACD_SIGNAL, "macd_histogram": f"{MACD_LINE} - {MACD_SIGNAL}"}, True))
 BARS_RN = f"{BARS}, b AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY open_ns) AS rn, lag(high) {over(None, BO)} AS h0, lag(low) {over(None, BO)} AS l0, lag(close) {over(None, BO)} AS c0 FROM bars), tr AS (SELECT *, CASE WHEN c0 IS NULL THEN high - low ELSE greatest(high - low, abs(high - c0), abs(low - c0)) END AS tr, CASE WHEN h0 IS NULL THEN NULL WHEN high - h0 > l0 - low AND high - h0 > 0 THEN high - h0 ELSE 0 END AS pdm, CASE WHEN h0 IS NULL THEN NULL WHEN l0 - low > high - h0 AND l0 - low > 0 THEN l0 - low ELSE 0 END AS mdm, CASE WHEN h0 IS NOT NULL THEN greatest(high - low, abs(high - c0), abs(low - c0)) END AS tr1 FROM b)"
 BKEY = ("t.symbol", "t.bucket")
 bar_scan = lambda s, d, make: scan(views.bars(s, d), make, order=BAR_ORDER)
@@ -150,6 +161,8 @@ for name, n in (("vwap_anchored", 0), ("vwap_rolling", 30)):
     VW = f"{TRADES}, m AS (SELECT *, sum(price * size) {over(n)} / sum(size) {over(n)} AS vw, count(*) {over(n)} AS n, first_value(price) {over(0)} AS a FROM trades), q AS (SELECT *, sum((price - 1500) * (price - 1500) * size) {over(n)} / sum(size) {over(n)} - (vw - 1500) * (vw - 1500) AS var FROM m), f AS (SELECT *, CASE WHEN n < 2 THEN 0 ELSE sqrt(greatest(var, 0)) END AS sd FROM q)"
     add(name, lambda s, d, n=n: out(rolling.vwap(views.trades(s, d), n), ROW, ("vwap", "deviation")), sql(VW, "f", ROW, {k: VWAP_COLS[k] for k in ("vwap", "deviation")}))
 
+    add(f"vwap_bands_{name[5:]}", lambda s, d, n=n: out(rolling.vwap(views.trades(s, d), n), ROW, ("sigma", "upper", "lower"), 3), sql(VW, "f", ROW, {k: VWAP_COLS[k] for k in ("sigma", "upper", "lower")}, digits=3))
+
 # ---- clocks
 
 BAR_COLS = {"open": "open", "high": "high", "low": "low", "close": "close", "volume": "volume"}
@@ -161,7 +174,7 @@ CLOCK = f"{TRADES}, c AS (SELECT *, sum(size) {over(0)} AS c1, sum(size) {over(0
 add("volume_clock_buckets", lambda s, d: out(clocks.volume_buckets(views.trades(s, d), BUCKET), ("symbol", "bucket"), ("buy", "sell", "imbalance")), sql(CLOCK, "vb", ("symbol", "bucket"), {"buy": "buy", "sell": "v - buy", "imbalance": "2 * buy - v"}))
 VPIN = f"{CLOCK}, vp AS (SELECT *, CASE WHEN count(*) OVER w = 10 THEN sum(abs(2 * buy - v)) OVER w / (10 * {BUCKET}) END AS vpin, CASE WHEN count(*) OVER w = 10 THEN sum(abs(2 * buy - v)) OVER w / sum(v) OVER w END AS va FROM vb WINDOW w AS (PARTITION BY symbol ORDER BY bucket ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))"
 add("vpin", lambda s, d: out(clocks.vpin(views.trades(s, d), BUCKET, 10), ("symbol", "bucket"), ("vpin", "vpin_actual")), sql(VPIN, "vp", ("symbol", "bucket"), {"vpin": "vpin", "vpin_actual": "va"}))
-add("vpin_of_trades", lambda s, d: out(clocks.vpin_of_trades(views.trades(s, d), BUCKET, 10), ROW, ("vpin",)), sql(VPIN, f"c LEFT JOIN vp ON vp.symbol = c.symbol AND vp.bucket = floor(c.c1 / {BUCKET})::BIGINT - 1", ("c.symbol", "c.ts_ns", "c.seq"), {"vpin": "vp.vpin"}))
+add("vpin_of_trades", lambda s, d: out(clocks.vpin_of_trades(views.trades(s, d), BUCKET, 10), ROW, ("vpin",)), sql(VPIN.replace("c AS (SELECT *, sum(size)", f"c AS MATERIALIZED (SELECT *, floor(sum(size) {over(0)} / {BUCKET})::BIGINT - 1 AS reached, sum(size)", 1), "c LEFT JOIN vp ON vp.symbol = c.symbol AND vp.bucket = c.reached", ("c.symbol", "c.ts_ns", "c.seq"), {"vpin": "vp.vpin"}))
 VBARS = f"{TRADES}, vn AS (SELECT symbol, seq, size, 0::BIGINT AS bar, size AS v FROM trades WHERE seq = 1 UNION ALL SELECT t.symbol, t.seq, t.size, CASE WHEN r.v >= 300 THEN r.bar + 1 ELSE r.bar END, CASE WHEN r.v >= 300 THEN t.size ELSE r.v + t.size END FROM vn r JOIN trades t ON t.symbol = r.symbol AND t.seq = r.seq + 1), g AS (SELECT t.symbol, n.bar AS bucket, min(t.ts_ns) AS open_ns, max(t.ts_ns) AS close_ns, count(*) AS trades, first(price ORDER BY t.seq) AS open, max(price) AS high, min(price) AS low, last(price ORDER BY t.seq) AS close, sum(t.size) AS volume FROM vn n JOIN trades t USING (symbol, seq) GROUP BY 1, 2 HAVING sum(t.size) >= 300)"
 add("volume_bars", lambda s, d: out(recurrent.volume_bars(views.trades(s, d), 300.0), ("symbol", "bucket", "open_ns", "close_ns", "trades"), BAR_COLS), sql(VBARS, "g", ("symbol", "bucket", "open_ns", "close_ns", "trades"), BAR_COLS, True))
 
@@ -244,7 +257,7 @@ for kind, estimate in ESTIMATES.items():
     add(f"volatility_{kind}", lambda s, d, k=kind: out(rolling.ohlc_volatility(views.bars(s, d), 10, k, 1460.0), BK, ("sigma", "annualised")), sql(f"{VOL}, f AS (SELECT *, {estimate} AS var FROM v)", "f", BK, {"sigma": "sqrt(greatest(var, 0) + 0 * var)", "annualised": "sqrt(greatest(var, 0) + 0 * var) * sqrt(1460)"}))
 LOGS = f"{TICKS}, l AS (SELECT *, ln(price / lag(price) {over()}) AS r FROM ticks)"
 add("realized_volatility", lambda s, d: out(rolling.realized_volatility(views.ticks(s, d), 20), ROW, ("realized",)), sql(f"{LOGS}, f AS (SELECT *, {mean_sql('r * r', 20)} AS v FROM l)", "f", ROW, {"realized": "sqrt(v)"}))
-EWMA = f"{USERS}, l AS (SELECT *, ln(price / lag(price) OVER (PARTITION BY symbol ORDER BY rn)) AS r FROM users), a_r AS (SELECT symbol, rn, r * r AS v FROM l WHERE rn = 2 UNION ALL SELECT l.symbol, l.rn, 0.94::DOUBLE * a.v + 0.06::DOUBLE * l.r * l.r FROM a_r a JOIN l ON l.symbol = a.symbol AND l.rn = a.rn + 1)"
+EWMA = f"{USERS}, pos AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY rn) AS k FROM users WHERE price > 0), l AS (SELECT *, ln(price / lag(price) OVER (PARTITION BY symbol ORDER BY k)) AS r FROM pos), e_r AS (SELECT symbol, k, rn, r * r AS v FROM l WHERE k = 2 UNION ALL SELECT l.symbol, l.k, l.rn, 0.94::DOUBLE * a.v + 0.06::DOUBLE * l.r * l.r FROM e_r a JOIN l ON l.symbol = a.symbol AND l.k = a.k + 1), a_r AS (SELECT symbol, rn, v FROM e_r)"
 add("ewma_volatility", lambda s, d: out(scan(views.user_ticks(s, d), lambda: recurrent.EwmaVolatility(0.94)), ROW, ("ewma_volatility",)), sql(EWMA, joined("users", "a"), TROW, {"ewma_volatility": "sqrt(a.v)"}, True))
 FLAT = f"{TICKS}, c AS (SELECT *, abs(price - lag(price) {over()}) AS ch, abs(price - lag(price, 20) {over()}) AS dp FROM ticks), m AS (SELECT *, CASE WHEN count(ch) {over(20)} = 20 THEN sum(ch) {over(20)} END AS pl, {mean_sql('price', 20)} AS mu, stddev_pop(price) {over(20)} AS sd FROM c)"
 add("flat_market", lambda s, d: out(rolling.flat_market(views.ticks(s, d), 20), ROW, ("efficiency", "band_width", "displacement", "path_length")), sql(FLAT, "m", ROW, {"efficiency": "CASE WHEN pl > 0 THEN dp / pl WHEN pl IS NOT NULL THEN 0 END", "band_width": "CASE WHEN mu > 0 THEN 4 * sd / mu END", "displacement": "dp", "path_length": "pl"}))
@@ -275,15 +288,19 @@ SIGMA_A, HALF = 1e-4, 20.0
 VSTD = 1e-3
 
 
-def kalman_sql(weigh: str = "1.0", r_eff: str = "r") -> str:
-    """One step: predict, then correct with weight w and reading variance re."""
-    q, r = repr(SIGMA_A**2), repr(HALF**2)
+#: Process noise over dt, by places of the covariance: acceleration as white noise, and constant over each step.
+CONTINUOUS, STEPWISE = ("dt * dt * dt / 3", "dt * dt / 2", "dt"), ("dt * dt * dt * dt / 4", "dt * dt * dt / 2", "dt * dt")
+
+
+def kalman_sql(weigh: str = "1.0", r_eff: str = "r", half: float = HALF, noise: tuple = CONTINUOUS, start: str = "price") -> str:
+    """One step: predict, then correct with weight w and reading variance re. The first reading corrects a level of ``start``."""
+    q, r = repr(SIGMA_A**2), repr(half**2)
     pre = f"SELECT t.symbol, t.rn, t.ts_ns, t.price, (t.ts_ns - k.ts_ns) / 1e9 AS dt, k.x, k.v, k.p00, k.p01, k.p11, k.ll FROM kr k JOIN users t ON t.symbol = k.symbol AND t.rn = k.rn + 1"
-    ahead = f"SELECT *, x + dt * v AS x1, p00 + dt * (2 * p01 + dt * p11) + {q}::DOUBLE * dt * dt * dt / 3 AS a, p01 + dt * p11 + {q}::DOUBLE * dt * dt / 2 AS b, p11 + {q}::DOUBLE * dt AS c FROM ({pre})"
+    ahead = f"SELECT *, x + dt * v AS x1, p00 + dt * (2 * p01 + dt * p11) + {q}::DOUBLE * {noise[0]} AS a, p01 + dt * p11 + {q}::DOUBLE * {noise[1]} AS b, p11 + {q}::DOUBLE * {noise[2]} AS c FROM ({pre})"
     seen = f"SELECT *, price - x1 AS y, a + {r}::DOUBLE AS s, {r}::DOUBLE AS r FROM ({ahead})"
     gated = f"SELECT *, {weigh} AS w FROM ({seen})"
     told = f"SELECT *, s - r + {r_eff} AS se FROM ({gated})"
-    first = f"SELECT symbol, rn, ts_ns, price AS x, 0.0::DOUBLE AS v, {r}::DOUBLE / 2 AS p00, 0.0::DOUBLE AS p01, {VSTD**2!r}::DOUBLE AS p11, -0.5 * (ln(2 * {r}::DOUBLE) + ln(2 * pi())) AS ll, 0.0::DOUBLE AS y, 2 * {r}::DOUBLE AS s, 1.0::DOUBLE AS w FROM users WHERE rn = 1"
+    first = f"SELECT symbol, rn, ts_ns, (price + {start}) / 2 AS x, 0.0::DOUBLE AS v, {r}::DOUBLE / 2 AS p00, 0.0::DOUBLE AS p01, {VSTD**2!r}::DOUBLE AS p11, -0.5 * ((price - {start}) * (price - {start}) / (2 * {r}::DOUBLE) + ln(2 * {r}::DOUBLE) + ln(2 * pi())) AS ll, (price - {start})::DOUBLE AS y, 2 * {r}::DOUBLE AS s, 1.0::DOUBLE AS w FROM users WHERE rn = 1"
     step = f"SELECT symbol, rn, ts_ns, CASE WHEN w > 0 THEN x1 + a * y / se ELSE x1 END, CASE WHEN w > 0 THEN v + b * y / se ELSE v END, CASE WHEN w > 0 THEN a - a * a / se ELSE a END, CASE WHEN w > 0 THEN b - a * b / se ELSE b END, CASE WHEN w > 0 THEN c - b * b / se ELSE c END, CASE WHEN w > 0 THEN ll - 0.5 * (y * y / se + ln(se) + ln(2 * pi())) ELSE ll END, y, s, w FROM ({told})"
     return f"{USERS}, kr AS ({first} UNION ALL {step})"
 
@@ -320,6 +337,37 @@ for form in ("sequential", "joseph", "ud", "square-root"):
 add("kalman_gated_general", lambda s, d: llt_columns(llt_steps(s, d, "ud", {"kind": "sigma", "k": 2.0})), ORACLES["kalman_gated"])
 
 
+#: One price by other motions, in the general filter.
+ONE_STATE = {"rows": [{"0": 1.0}], "variances": [400.0], "p0_diag": [900.0], "x0": [50.0]}
+MOTION_CONFIGS = {
+    "random_walk": ONE_STATE | {"motion": {"type": "random-walk", "sigma": 0.05}}, "ornstein_uhlenbeck": ONE_STATE | {"motion": {"type": "ornstein-uhlenbeck", "theta": 1e-4, "mu": 60.0, "sigma": 0.2}},
+    "white_acceleration": {"motion": {"type": "white-acceleration", "sigma_a": SIGMA_A}, "rows": [{"0": 1.0}], "variances": [HALF**2], "p0_diag": [HALF**2, VSTD**2]},
+    "constant_acceleration": {"motion": {"type": "constant-acceleration", "sigma_j": 1e-8}, "rows": [{"0": 1.0}], "variances": [400.0], "p0_diag": [400.0, 1e-6, 1e-14], "x0": [50.0, 0.0, 0.0]},
+    "singer": {"motion": {"type": "singer", "sigma": 1e-4, "tau": 7200.0}, "rows": [{"0": 1.0}], "variances": [400.0], "p0_diag": [400.0, 1e-6], "x0": [50.0, 0.0]},
+}
+
+
+def scalar_sql(source: str, x0: str, p0: str, decay: str, noise: str, mean: str, r: str) -> str:
+    """kr: a filter of one state, x' = mean + decay (x - mean) with the noise added, over source (symbol, rn, ts_ns, price)."""
+    ahead = f"SELECT t.symbol, t.rn, t.price, t.ts_ns, {mean} + {decay} * (k.x - {mean}) AS x1, {decay} * {decay} * k.p + {noise} AS a, k.ll FROM kr k JOIN (SELECT *, (ts_ns - lag(ts_ns) OVER (PARTITION BY symbol ORDER BY rn)) / 1e9 AS dt FROM {source}) t ON t.symbol = k.symbol AND t.rn = k.rn + 1"
+    seen = "SELECT symbol, rn, x1 + a / s * y, a - a * a / s, ll - 0.5 * (y * y / s + ln(s) + ln(2 * pi()))"
+    return f"""kr AS (SELECT symbol, rn, {x0}::DOUBLE + {p0}::DOUBLE / ({p0} + {r}) * (price - {x0}) AS x, {p0}::DOUBLE - {p0} * {p0} / ({p0} + {r}) AS p, -0.5 * ((price - {x0}) * (price - {x0}) / ({p0} + {r}) + ln({p0} + {r}) + ln(2 * pi())) AS ll FROM {source} WHERE rn = 1
+UNION ALL {seen} FROM (SELECT *, price - x1 AS y, a + {r} AS s FROM ({ahead})))"""
+
+
+def motion_query(name: str) -> Callable:
+    start = start_at_first if name == "white_acceleration" else None
+    return lambda s, d: out(filters.run_filter(views.kalman_ticks(s, d), MOTION_CONFIGS[name], start=start).withColumns({"level": F.get("x", 0), "level_std": F.sqrt(F.get("p", 0))}), ROW, ("level", "level_std", "ll"), 3)
+
+
+SCALAR = {"level": "k.x", "level_std": "sqrt(k.p)", "ll": "k.ll"}
+add("motion_random_walk", motion_query("random_walk"), sql(f"{USERS}, {scalar_sql('users', '50', '900', '1.0::DOUBLE', '0.0025::DOUBLE * t.dt', '0', '400')}", KJ, TROW, SCALAR, True, 3))
+add("motion_ornstein_uhlenbeck", motion_query("ornstein_uhlenbeck"), sql(f"{USERS}, {scalar_sql('users', '50', '900', 'exp(-1e-4::DOUBLE * t.dt)', '0.04::DOUBLE * (1 - exp(-2e-4::DOUBLE * t.dt)) / 2e-4', '60', '400')}", KJ, TROW, SCALAR, True, 3))
+add("motion_white_acceleration", motion_query("white_acceleration"), sql(kalman_sql("1.0::DOUBLE", noise=STEPWISE), KJ, TROW, {"level": "k.x", "level_std": "sqrt(k.p00)", "ll": "k.ll"}, True, 3))
+add("motion_constant_acceleration", motion_query("constant_acceleration"))
+add("motion_singer", motion_query("singer"))
+
+
 def by_key(spark: SparkSession, sf: str, make: Callable, names: tuple[str, ...]) -> DataFrame:
     """Another filter over the users' ticks as a kernel: make() gives step(ts_ns, price) -> values."""
 
@@ -397,8 +445,31 @@ ALPHA = 1 - r_ * r_
 BETA = 2 * (2 - ALPHA) - 4 * (1 - ALPHA) ** 0.5
 AB = f"{USERS}, kr AS (SELECT symbol, rn, price AS x, 0.0::DOUBLE AS v FROM users WHERE rn = 1 UNION ALL SELECT t.symbol, t.rn, k.x + 3600 * k.v + {ALPHA!r}::DOUBLE * (t.price - k.x - 3600 * k.v), k.v + {BETA!r}::DOUBLE / 3600 * (t.price - k.x - 3600 * k.v) FROM kr k JOIN users t ON t.symbol = k.symbol AND t.rn = k.rn + 1)"
 add("alpha_beta", lambda s, d: out(scan(views.user_ticks(s, d), lambda: trend_filters.AlphaBeta(1e-2, HALF, 3600.0)), ROW, ("position", "velocity")), sql(AB, KJ, TROW, {"position": "k.x", "velocity": "k.v"}, True))
-add("steady_state", lambda s, d: out(scan(views.user_ticks(s, d), lambda: trend_filters.SteadyTrend(1e-4, HALF, 3600.0)), ROW, ("level", "rate")))
-add("filtered_derivative", lambda s, d: out(scan(views.ticks(s, d), lambda: trend_filters.FilteredDerivative(0.01, None, 50)), ROW, ("rate", "level", "level_std", "t_stat")))
+
+
+def gain_at_rest(sigma_a: float, r: float, dt: float) -> tuple[float, float]:
+    """The trend filter's gain where its variances no longer change, by running them."""
+    q, (a, b, c) = sigma_a**2, (r, 0.0, 1.0)
+    for _ in range(100_000):
+        a, b, c = a + 2 * dt * b + dt * dt * c + q * dt**3 / 3, b + dt * c + q * dt**2 / 2, c + q * dt
+        k, g = a / (a + r), b / (a + r)
+        a, b, c = a - k * a, b - k * b, c - g * b
+    return k, g
+
+
+GAIN = gain_at_rest(1e-4, HALF**2, 3600.0)
+STEADY = f"{USERS}, kr AS (SELECT symbol, rn, price AS x, 0.0::DOUBLE AS v FROM users WHERE rn = 1 UNION ALL SELECT t.symbol, t.rn, k.x + 3600 * k.v + {GAIN[0]!r}::DOUBLE * (t.price - k.x - 3600 * k.v), k.v + {GAIN[1]!r}::DOUBLE * (t.price - k.x - 3600 * k.v) FROM kr k JOIN users t ON t.symbol = k.symbol AND t.rn = k.rn + 1)"
+add("steady_state", lambda s, d: out(scan(views.user_ticks(s, d), lambda: trend_filters.SteadyTrend(1e-4, HALF, 3600.0)), ROW, ("level", "rate")), sql(STEADY, KJ, TROW, {"level": "k.x", "rate": "k.v"}, True))
+#: The first 50 differences give the noise and the interval; the trend filter starts at the price after them.
+DERIVATIVE = f"""{TICKS}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts_ns, seq) AS rn FROM ticks), ch AS (SELECT *, price - lag(price) OVER w AS ch, (ts_ns - lag(ts_ns) OVER w) / 1e9 AS dt FROM n WINDOW w AS (PARTITION BY symbol ORDER BY rn)),
+st AS (SELECT symbol, stddev_samp(ch) / sqrt(2) AS noise, avg(dt) FILTER (WHERE dt > 0) AS gap FROM ch WHERE rn BETWEEN 2 AND 51 GROUP BY 1),
+kr AS (SELECT n.symbol, rn, price AS x, 0.0::DOUBLE AS v, noise * noise AS p00, 0.0::DOUBLE AS p01, noise * noise / (gap * gap) AS p11, noise * noise AS r, pow(0.01 * noise * sqrt(3) / pow(gap, 1.5), 2) AS q FROM n JOIN st USING (symbol) WHERE rn = 51
+UNION ALL SELECT symbol, rn, x1 + a / s * y, v + b / s * y, a - a * a / s, b - a * b / s, c - b * b / s, r, q FROM (SELECT *, price - x1 AS y, a + r AS s FROM
+(SELECT t.symbol, t.rn, t.price, k.v, k.r, k.q, k.x + t.dt * k.v AS x1, k.p00 + t.dt * (2 * k.p01 + t.dt * k.p11) + k.q * t.dt * t.dt * t.dt / 3 AS a, k.p01 + t.dt * k.p11 + k.q * t.dt * t.dt / 2 AS b, k.p11 + k.q * t.dt AS c FROM kr k JOIN ch t ON t.symbol = k.symbol AND t.rn = k.rn + 1)))"""
+add(
+    "filtered_derivative", lambda s, d: out(scan(views.ticks(s, d), lambda: trend_filters.FilteredDerivative(0.01, None, 50)), ROW, ("rate", "level", "level_std", "t_stat"), 5),
+    sql(DERIVATIVE, "n t LEFT JOIN kr k ON k.symbol = t.symbol AND k.rn = t.rn AND k.rn > 51", TROW, {"rate": "k.v", "level": "k.x", "level_std": "sqrt(k.p00)", "t_stat": "k.v / sqrt(k.p11)"}, True, 5),
+)
 
 
 # ---- finance models over the driver's tables
@@ -416,7 +487,8 @@ def pairs_query(spark: SparkSession, sf: str) -> DataFrame:
     return out(steps.withColumns({"alpha": F.get("x", 0), "beta": F.get("x", 1)}), ROW, ("alpha", "beta", "ll"))
 
 
-PAIRS = f"""{DAILY}, pv AS (SELECT ts_ns, max(price) FILTER (WHERE symbol = 'click') AS y, max(price) FILTER (WHERE symbol = 'view') AS x FROM daily GROUP BY 1 HAVING count(*) FILTER (WHERE symbol IN ('click', 'view')) = 2), users AS (SELECT *, row_number() OVER (ORDER BY ts_ns) AS rn FROM pv),
+PV = "pv AS (SELECT ts_ns, max(price) FILTER (WHERE symbol = 'click') AS y, max(price) FILTER (WHERE symbol = 'view') AS x FROM daily GROUP BY 1 HAVING count(*) FILTER (WHERE symbol IN ('click', 'view')) = 2)"
+PAIRS = f"""{DAILY}, {PV}, users AS (SELECT *, row_number() OVER (ORDER BY ts_ns) AS rn FROM pv),
 kr AS (SELECT rn, ts_ns, 0.0::DOUBLE AS a, 1.0::DOUBLE AS b, 1.0::DOUBLE AS paa, 0.0::DOUBLE AS pab, 0.25::DOUBLE AS pbb, 0.0::DOUBLE AS ll, true AS fresh FROM users WHERE rn = 1
 UNION ALL SELECT rn, ts_ns, a + fa * e / s, b + fb * e / s, paa - fa * fa / s, pab - fa * fb / s, pbb - fb * fb / s, ll - 0.5 * (e * e / s + ln(s) + ln(2 * pi())), false FROM (SELECT *, paa + pab * x AS fa, pab + pbb * x AS fb, paa + 2 * x * pab + x * x * pbb + 100 AS s, y - a - b * x AS e FROM
 (SELECT t.rn, t.ts_ns, t.x, t.y, k.a, k.b, k.paa + CASE WHEN k.fresh THEN 0 ELSE 1e-6 * (t.ts_ns - k.ts_ns) / 1e9 END AS paa, k.pab, k.pbb + CASE WHEN k.fresh THEN 0 ELSE 1e-8 * (t.ts_ns - k.ts_ns) / 1e9 END AS pbb, k.ll FROM kr k JOIN users t ON t.rn = k.rn + CASE WHEN k.fresh THEN 0 ELSE 1 END)))"""
@@ -424,24 +496,29 @@ add("pairs_hedge", pairs_query, sql(PAIRS, "kr WHERE NOT fresh", ("'click/view'
 
 
 def beta_query(spark: SparkSession, sf: str) -> DataFrame:
-    returns = views.daily(spark, sf).withColumn("r", F.log(C("price") / F.lag("price").over(cross._own())))
+    returns = views.daily(spark, sf).withColumn("r", ln(ratio(C("price"), F.lag("price").over(cross._own()))))
     basket = returns.groupBy("ts_ns").agg(F.avg("r").alias("m"), F.max(F.when(C("symbol") == "click", C("r"))).alias("ra")).dropna()
     rows = basket.select(F.lit("click").alias("symbol"), "ts_ns", F.lit(0).cast("long").alias("seq"), F.create_map(F.lit(0), C("ra")).alias("values"), F.create_map(F.lit(0), F.array(F.lit(1.0), C("m"))).alias("rows"))
     steps = filters.run_filter(rows, {"type": "time-varying-beta", "q_alpha": 1e-9, "q_beta": 1e-7, "r": 1.0})
     return out(steps.withColumns({"alpha": F.get("x", 0), "beta": F.get("x", 1)}), ROW, ("alpha", "beta", "ll"))
 
 
-add("time_varying_beta", beta_query)
+BETA_ROWS = "rt AS (SELECT *, ln(price / lag(price) OVER (PARTITION BY symbol ORDER BY ts_ns)) AS r FROM daily WHERE price > 0), pv AS (SELECT ts_ns, max(r) FILTER (WHERE symbol = 'click') AS y, avg(r) AS x FROM rt GROUP BY 1 HAVING max(r) FILTER (WHERE symbol = 'click') IS NOT NULL)"
+BETA_SQL = PAIRS.replace(PV, BETA_ROWS).replace("1.0::DOUBLE AS paa", "0.0001::DOUBLE AS paa").replace("+ 100 AS s", "+ 1 AS s").replace("1e-6 *", "1e-9 *").replace("1e-8 *", "1e-7 *")
+add("time_varying_beta", beta_query, sql(BETA_SQL, "kr WHERE NOT fresh", ("'click' AS symbol", "ts_ns", "0::BIGINT AS seq"), {"alpha": "a", "beta": "b", "ll": "ll"}, True))
 
 
 def volatility_query(spark: SparkSession, sf: str) -> DataFrame:
-    r = F.log(C("price") / F.lag("price").over(views.ordered()))
+    r = ln(ratio(C("price"), F.lag("price").over(views.ordered())))
     rows = views.user_ticks(spark, sf).withColumn("r", r).dropna().withColumn("values", F.create_map(F.lit(0), F.log(C("r") * C("r") + 1e-12) + models.LOG_CHI_SHIFT))
     steps = filters.run_filter(rows, {"type": "stochastic-volatility", "mu": 0.5, "phi": 0.98, "sigma": 0.15, "interval": 3600.0})
     return out(steps.withColumn("volatility", F.exp(F.get("x", 0) / 2)), ROW, ("volatility", "ll"))
 
 
-add("stochastic_volatility", volatility_query)
+REST = 0.15**2 / (1 - 0.98**2)
+LOG_SQUARES = f"{USERS}, sq AS (SELECT symbol, ts_ns, seq, rn AS own, ln(power(CASE WHEN price > 0 AND before > 0 THEN ln(CASE WHEN price > 0 THEN price END / CASE WHEN before > 0 THEN before END) END, 2) + 1e-12) + {models.LOG_CHI_SHIFT} AS price FROM (SELECT *, lag(price) OVER (PARTITION BY symbol ORDER BY rn) AS before FROM users)), obs AS (SELECT symbol, ts_ns, seq, price, row_number() OVER (PARTITION BY symbol ORDER BY own) AS rn FROM sq WHERE price IS NOT NULL)"
+VOLATILITY_SQL = scalar_sql("obs", "0.5", repr(REST), "pow(0.98::DOUBLE, t.dt / 3600)", f"{REST!r}::DOUBLE * (1 - pow(0.98::DOUBLE, t.dt / 1800))", "0.5::DOUBLE", repr(models.LOG_CHI_VARIANCE))
+add("stochastic_volatility", volatility_query, sql(f"{LOG_SQUARES}, {VOLATILITY_SQL}", "obs t JOIN kr k ON k.symbol = t.symbol AND k.rn = t.rn", TROW, {"volatility": "exp(k.x / 2)", "ll": "k.ll"}, True))
 
 
 def venues_query(spark: SparkSession, sf: str) -> DataFrame:
@@ -491,8 +568,20 @@ add("nelson_siegel", curve_query)
 
 # ---- smoothing, diagnostics, calibration
 
-add("rts_smoother", lambda s, d: out(smoothing.smooth(llt_steps(s, d), LLT).withColumns({"level": F.get("xs", 0), "level_var": F.get("ps", 0)}), ROW, ("level", "level_var")))
-add("fixed_lag_smoother", lambda s, d: out(smoothing.smooth_lagged(llt_steps(s, d), LLT, 5).withColumn("level", F.get("xs", 0)), ROW, ("level",)))
+RTS = kalman_sql("1.0::DOUBLE") + f""", nx AS (SELECT *, (lead(ts_ns) OVER (PARTITION BY symbol ORDER BY rn) - ts_ns) / 1e9 AS dt, max(rn) OVER (PARTITION BY symbol) AS n FROM kr),
+pr AS (SELECT *, x + dt * v AS x1, p00 + dt * (2 * p01 + dt * p11) + {SIGMA_A**2!r}::DOUBLE * dt * dt * dt / 3 AS a, p01 + dt * p11 + {SIGMA_A**2!r}::DOUBLE * dt * dt / 2 AS b, p11 + {SIGMA_A**2!r}::DOUBLE * dt AS c FROM nx),
+gn AS (SELECT *, ((p00 + dt * p01) * c - p01 * b) / (a * c - b * b) AS g00, (p01 * a - (p00 + dt * p01) * b) / (a * c - b * b) AS g01, ((p01 + dt * p11) * c - p11 * b) / (a * c - b * b) AS g10, (p11 * a - (p01 + dt * p11) * b) / (a * c - b * b) AS g11 FROM pr),
+sm AS (SELECT symbol, rn, x AS xs, v AS vs, p00 AS s00, p01 AS s01, p11 AS s11 FROM kr WHERE (symbol, rn) IN (SELECT symbol, max(rn) FROM kr GROUP BY 1)
+UNION ALL SELECT g.symbol, g.rn, g.x + g00 * (xs - x1) + g01 * (vs - v), g.v + g10 * (xs - x1) + g11 * (vs - v), p00 + g00 * g00 * (s00 - a) + 2 * g00 * g01 * (s01 - b) + g01 * g01 * (s11 - c),
+p01 + g00 * g10 * (s00 - a) + (g00 * g11 + g01 * g10) * (s01 - b) + g01 * g11 * (s11 - c), p11 + g10 * g10 * (s00 - a) + 2 * g10 * g11 * (s01 - b) + g11 * g11 * (s11 - c) FROM sm JOIN gn g ON g.symbol = sm.symbol AND g.rn = sm.rn - 1)"""
+add("rts_smoother", lambda s, d: out(smoothing.smooth(llt_steps(s, d), LLT).withColumns({"level": F.get("xs", 0), "level_std": F.sqrt(F.get("ps", 0))}), ROW, ("level", "level_std"), 4), sql(RTS, "users t JOIN sm k ON k.symbol = t.symbol AND k.rn = t.rn", TROW, {"level": "k.xs", "level_std": "sqrt(k.s00)"}, True, 4))
+BACKTEST = kalman_sql("CASE WHEN y * y / s > 4 THEN 0.0 ELSE 1.0 END") + ", f AS (SELECT symbol, count(*) AS steps, sum((w = 0)::INT) AS rejected, avg(y * y / s) FILTER (WHERE w > 0) AS nis, max_by(ll, rn) AS ll FROM kr GROUP BY 1)"
+add(
+    "backtest_report", lambda s, d: out(calibration.backtest_report(llt_steps(s, d, gate={"kind": "sigma", "k": 2.0})), ("symbol",), ("steps", "readings", "rejected", "mean_nis", "ll")),
+    sql(BACKTEST, "f", ("symbol",), {"steps": "steps", "readings": "steps", "rejected": "rejected", "mean_nis": "nis", "ll": "ll"}, True),
+)
+LAGGED_RTS = RTS[: RTS.index("sm AS (")] + """sm AS (SELECT symbol, rn AS e, rn, x AS xs, v AS vs FROM kr UNION ALL SELECT g.symbol, sm.e, g.rn, g.x + g00 * (xs - x1) + g01 * (vs - v), g.v + g10 * (xs - x1) + g11 * (vs - v) FROM sm JOIN gn g ON g.symbol = sm.symbol AND g.rn = sm.rn - 1 AND sm.e - g.rn <= 5)"""
+add("fixed_lag_smoother", lambda s, d: out(smoothing.smooth_lagged(llt_steps(s, d), LLT, 5).withColumn("level", F.get("xs", 0)), ROW, ("level",), 4), sql(LAGGED_RTS, "users t LEFT JOIN sm k ON k.symbol = t.symbol AND k.rn = t.rn AND k.e = t.rn + 5", TROW, {"level": "k.xs"}, True, 4))
 HEALTH = ("readings", "accepted", "rejected", "down_weighted", "mean_nis", "autocorrelation_1", "autocorrelation_2", "longest_rejection")
 HEALTH_SQL = kalman_sql("CASE WHEN y * y / s > 4 THEN 0.0 ELSE 1.0 END") + ", iv AS (SELECT *, y * y / s AS nis, y / sqrt(s) AS z, avg(y / sqrt(s)) OVER (PARTITION BY symbol) AS mz FROM kr), lg AS (SELECT *, lag(z, 1) OVER (PARTITION BY symbol ORDER BY rn) - mz AS z1, lag(z, 2) OVER (PARTITION BY symbol ORDER BY rn) - mz AS z2, sum(CASE WHEN w > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY rn) AS grp FROM iv), runs AS (SELECT symbol, max(n) AS n FROM (SELECT symbol, grp, count(*) AS n FROM lg WHERE w = 0 GROUP BY 1, 2) GROUP BY 1), f AS (SELECT symbol, count(*) AS readings, sum((w > 0)::INT) AS accepted, sum((w = 0)::INT) AS rejected, sum((w > 0 AND w < 1)::INT) AS down_weighted, avg(nis) AS mean_nis, sum((z - mz) * z1) / sum((z - mz) * (z - mz)) AS a1, sum((z - mz) * z2) / sum((z - mz) * (z - mz)) AS a2 FROM lg GROUP BY 1)"
 add(
@@ -513,7 +602,8 @@ def likelihood_query(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(h, round(v, 3)) for h, v in zip((10.0, 20.0, 40.0), found, strict=True)], "half_spread double, ll double")
 
 
-add("innovation_likelihood", likelihood_query)
+LIKELIHOODS = " UNION ALL ".join(f"(WITH RECURSIVE {kalman_sql('1.0::DOUBLE', half=h).replace(repr(HALF**2), repr(h**2))} SELECT {h}::DOUBLE AS half_spread, round(sum(ll), 3) AS ll FROM (SELECT max_by(ll, rn) AS ll FROM kr GROUP BY symbol))" for h in (10.0, 20.0, 40.0))
+add("innovation_likelihood", likelihood_query, LIKELIHOODS)
 
 
 def calibration_query(spark: SparkSession, sf: str) -> DataFrame:
@@ -546,7 +636,8 @@ def stream_query(spark: SparkSession, sf: str) -> DataFrame:
     return final_states(spark, sf, LLT)
 
 
-add("stream_session", stream_query)
+STREAMED = kalman_sql("1.0::DOUBLE", start="0") + ", f AS (SELECT symbol, max(ts_ns) AS ts_ns, round(max_by(x, rn), 6) AS level, round(max_by(ll, rn), 6) AS ll, count(*) AS steps FROM kr GROUP BY 1)"
+add("stream_session", stream_query, f"WITH RECURSIVE {STREAMED} SELECT * FROM f")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
