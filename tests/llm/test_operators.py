@@ -1,6 +1,6 @@
 """Every operator on messy rows, against brute force or an exact round trip."""
 
-import hashlib
+import json
 import random
 import re
 import struct
@@ -305,9 +305,26 @@ def test_word_tokens_equal_the_tokenizer():
     path = packing.default_tokenizer()
     tokenizer, made = Tokenizer.from_file(path), packing.WordTokens(path, limit=500)
     texts = ["<|endoftext|> x<|endoftext|>", "a  b", "\n\nfoo\n", "it's we'll don't", "a b", "\x1c a \x85b", *["".join(random.choice(" \n  ab the'ing=-_/.é日\t0123xyzABC　²ªß\r'sll") for _ in range(random.randint(0, 40))) for _ in range(2000)]]
+    slow = packing.WordTokens(path, limit=500)
+    assert made.fast and max(map(len, texts)) < 60
+    slow.fast = None  # as with a file whose ids are no ranks
+    texts += ["y" * 5000 + " z " + "日" * 90, "ab" * 40]
     for at in range(0, len(texts), 300):
-        for t, ids in zip(texts[at : at + 300], made.ids(texts[at : at + 300]), strict=True):
-            assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+        want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts[at : at + 300]]
+        for words in (made, slow):
+            assert [np.frombuffer(ids, "<u4").tolist() for ids in words.ids(texts[at : at + 300])] == want
+            assert max(map(len, words.known)) <= packing.KEPT_CHARS
+
+
+def test_ranks_are_told_from_the_file(tmp_path):
+    told = json.loads(open(packing.default_tokenizer(), encoding="utf-8").read())
+    merges = told["model"]["merges"]
+    merges[700], merges[900] = merges[900], merges[700]
+    (tmp_path / "swapped.json").write_text(json.dumps(told), encoding="utf-8")
+    assert packing.ranks_of(str(tmp_path / "swapped.json"), set()) is None
+    made = packing.WordTokens(str(tmp_path / "swapped.json"))
+    text = "some words of theirs, and of others"
+    assert made.fast is None and np.frombuffer(next(made.ids([text])), "<u4").tolist() == made.tokenizer.encode(text, add_special_tokens=False).ids
 
 
 # ---- 6
@@ -374,11 +391,22 @@ def test_quality_learns_and_scores_everything(spark, docs, none, sf):
     odd = quality.score(docs[0].withColumn("score", F.lit("x")), network).collect()
     assert len(odd) == len(ROWS) and all(0 <= r["score"] <= 1 for r in odd)
     assert quality.score(none, network).count() == 0
+    texts = [np.frombuffer((r["text"] or "").encode(), np.uint8) for r in table.limit(120).collect()]
+    whole = network.score(texts)
+    assert [network.score([t])[0] for t in texts] == whole.tolist() == network.score(texts[::-1])[::-1].tolist()
     one_class = labels.filter("quality = 1")
     assert quality.train(table, one_class).constant > 0.5
     assert 0 < quality.train(table, labels.limit(0)).constant < 1
 
 
+def test_long_texts_teach_by_strips(spark):
+    rows = spark.createDataFrame([("a" * 10,), ("",), ("".join(chr(97 + k % 26) for k in range(2500)),), ("x" * 1001,)], "t string")
+    got = [r[0] for r in rows.select(quality.teaching_strips(F.col("t"), 3, 1000)).collect()]
+    assert got[0] == ["a" * 10] and got[1] == [""] and [len(x) for x in got[2]] == [1000] * 3 and [len(x) for x in got[3]] == [1000] * 2
+    long = rows.collect()[2][0]
+    assert got[2] == [long[:1000], long[750:1750], long[1500:]]
+
+
 # ---- 8
 
 
@@ -407,17 +435,47 @@ def test_state_lasts_over_batches(spark, tmp_path):
     rows = spark.createDataFrame([(k, "same" if k % 2 else f"own {k}") for k in range(20)], "doc_id long, text string")
     for k in range(4):
         rows.filter(F.col("doc_id") % 4 == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).selectExpr("*", *exact_dedup.LOCATOR)
     prints, state = exact_dedup.stream_state(spark, stream)
     got = state.collect()
     assert prints.count() == 20 and len(got) == 11 and max(r["group_size"] for r in got) == 10
-    assert next(-r["best"]["order"] for r in got if r["group_size"] == 10) == 1
+    assert next(r["best"]["doc_id"] for r in got if r["group_size"] == 10) == 1
+
+
+def test_a_named_state_is_resumed(spark, tmp_path):
+    at, state = str(tmp_path / "in"), str(tmp_path / "state")
+    add = lambda rows: spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.mode("append").parquet(at)
+    add([(5, "a b"), (6, "other")])
+    first = {r["doc_id"]: r for r in exact_dedup.deduplicate(spark, spark.read.parquet(at), at, state=state).collect()}
+    assert first[5]["kept"] and first[5]["group_size"] == 1
+    passes = spark.read.parquet(f"{state}/state").select("pass").distinct().count()
+    add([(7, "a  b"), (4, "ab")])
+    then = {r["doc_id"]: r for r in exact_dedup.deduplicate(spark, spark.read.parquet(at), at, state=state).collect()}
+    assert {k: (r["keep_id"], r["group_size"], r["kept"]) for k, r in then.items()} == {4: (7, 3, False), 5: (7, 3, False), 6: (6, 1, True), 7: (7, 3, True)}
+    # What was there before was read once: only the new file's two rows came in the later passes.
+    assert spark.read.parquet(f"{state}/state").filter(F.col("pass") >= passes).select(F.sum("group_size")).first()[0] == 3
+    with pytest.raises(ValueError):
+        exact_dedup.deduplicate(spark, spark.read.parquet(at), state=state)
+
+
+def test_one_row_of_a_group_stays_whatever_repeats(spark, tmp_path):
+    low = -(1 << 63)
+    rows = [(1, "a b", 7), (1, "a  b", 7), (1, "ab", 7), (2, "x", 1), (2, "x", 1), (None, "y y", 1), (3, "yy", 1), (low, "z", 1), (low + 1, "z", 1)]
+    for schema, ids in (("doc_id long, text string, _metadata int", lambda k: k), ("doc_id string, text string, __at int", lambda k: None if k is None else f"{k:+d}")):
+        docs = spark.createDataFrame([(ids(d), t, x) for d, t, x in rows], schema)
+        docs.write.parquet(at := str(tmp_path / schema.split()[1]))
+        for source in (docs, spark.read.parquet(at)):
+            got = exact_dedup.deduplicate(spark, source.select("doc_id", "text")).filter("kept").collect()
+            assert sorted(r["n_chars"] for r in got) == [1, 1, 3, 4] and len({r["digest"] for r in map(lambda r: r.asDict() | {"digest": bytes(r["digest"])}, got)}) == 4
+            left = exact_dedup.drop_copies(spark, source)
+            assert left.columns == docs.columns and sorted(r["text"] for r in left.collect()) == ["a  b", "x", "y y", "z"]
+        assert [r["doc_id"] for r in left.collect() if r["text"] == "z"] == [ids(low)] or schema.startswith("doc_id string")
 
 
 # ---- 9
 
 
-def test_sentence_pieces_equal_the_library(spark, docs, none):
+def test_sentence_pieces_equal_the_library(spark, docs, none, monkeypatch):
     import sentencepiece
 
     path = sentence_pieces.default_model()
@@ -426,6 +484,19 @@ def test_sentence_pieces_equal_the_library(spark, docs, none):
     for t in texts:
         ids = np.frombuffer(own.encode(t), np.int32).tolist()
         assert ids == library.encode(t) and own.decode(ids) == library.decode(ids)
+    assert [np.frombuffer(e, np.int32).tolist() for e in own.encode_all(texts)] == library.encode(texts)
+    some = [w for t in texts for w in own.cut(t) if own.chars.issuperset(w)][:400]
+    assert own.encode_words(some) == [own.alone(w) for w in some]
+    for limit in (0, 50, 300, 700, 1500):  # words are forgotten on the way
+        monkeypatch.setattr(sentence_pieces, "KNOWN_WORDS", limit)
+        own.words.clear()
+        assert [np.frombuffer(e, np.int32).tolist() for k in range(0, len(texts), 40) for e in own.encode_all(texts[k : k + 40])] == library.encode(texts)
+        assert len(own.words) <= max(limit, 600)
+    monkeypatch.setattr(sentence_pieces, "PAIR_SLOTS", 64)
+    small = sentence_pieces.Pieces(path)  # pairs are forgotten, too
+    assert [np.frombuffer(e, np.int32).tolist() for e in small.encode_all(texts)] == library.encode(texts)
+    monkeypatch.undo()
+    assert max(map(len, own.words)) <= sentence_pieces.KEPT_CHARS
     for _ in range(300):
         ids = [random.randint(0, 31_999) if random.random() < 0.6 else random.randint(3, 258) for _ in range(8)]
         assert own.decode(ids) == library.decode(ids)
@@ -529,7 +600,3 @@ def test_redaction(spark, docs):
     assert got[17]["text"] == '[secret] [secret]" [secret] SECRET: short' and got[17]["n_chars"] == len(got[17]["text"])
     assert all(got[k]["text"] == t for k, t in enumerate(TEXTS) if k not in (16, 17))
     assert secrets.mask("abcdef", [(1, 3), (2, 4), (5, 6)], "*") == "a*e*"
-
-
-def test_digest_of_spans():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0")

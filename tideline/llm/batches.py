@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -33,3 +35,21 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         j = min(max(j, i + 1), n)
         yield i, j
         i = j
+
+
+def tidied(run: Callable) -> Callable:
+    """run, which passes the batches of a task, and gives what it no longer needs back to the system at its end: workers outlive tasks, and
+    several of them share an executor's memory."""
+
+    @wraps(run)
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):
+                pass  # another C library
+
+    return passed

@@ -36,13 +36,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tideline.llm.batches import text_bytes
+from tideline.llm.batches import text_bytes, tidied
 from tideline.llm.components import components
 from tideline.llm.scratch import materialise
 from tideline.llm.shingles import shingle_sets
 
 #: Documents that are hashed at once.
-SLICE = 1000
+SLICE = 500
 #: A shingle that so many sets of a slice hold is counted there.
 COMMON = 8
 #: Pivots of a bucket in the second turn, and how many times as many the next one has.
@@ -103,7 +103,7 @@ def members(docs: DataFrame) -> DataFrame:
             columns = [pa.array(x, pa.int64()) for x in ([len(s) for s in sets], *zip(*names, strict=True))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_shingles", "node", "check"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, node long, check long")
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), f"doc_id {kind}, n_shingles long, node long, check long")
 
 
 def apart(held: DataFrame) -> tuple[DataFrame, dict[tuple[int, int], int]]:
@@ -154,7 +154,7 @@ def _set_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _counts(postings: DataFrame) -> DataFrame:
     """node, c: how many of its prefix shingles other nodes hold in theirs."""
-    return postings.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_shared, "node long, c long").groupBy("node").agg(F.sum("c").alias("c"))
+    return postings.repartition("token").sortWithinPartitions("token", "node").mapInArrow(tidied(_shared), "node long, c long").groupBy("node").agg(F.sum("c").alias("c"))
 
 
 ENOUGH = "c >= 1 + floor(n / 16)"
@@ -190,13 +190,13 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def survivors(docs: DataFrame, reps: DataFrame, moved: dict) -> DataFrame:
     """node, n, rep: the nodes that share enough of their first prefix. reps: each node with its size and least doc_id."""
-    counts = _counts(docs.select("text").mapInArrow(_text_postings(moved), "token long, node long, k int"))
+    counts = _counts(docs.select("text").mapInArrow(tidied(_text_postings(moved)), "token long, node long, k int"))
     return reps.join(counts, "node").filter(ENOUGH).select("node", "n", "rep")
 
 
 def second_survivors(sets: DataFrame) -> DataFrame:
     """The sets that share enough of their last prefix with others that are still there."""
-    counts = _counts(sets.select("node", "tokens").mapInArrow(_set_postings, "token long, node long, k int"))
+    counts = _counts(sets.select("node", "tokens").mapInArrow(tidied(_set_postings), "token long, node long, k int"))
     return sets.join(counts, "node").filter(ENOUGH).select("node", "n", "tokens", *PARITIES)
 
 
@@ -214,7 +214,7 @@ def sets_of(docs: DataFrame, live: DataFrame, moved: dict) -> DataFrame:
             types = [pa.int64(), pa.int64(), pa.binary()] + [pa.int64()] * len(PARITIES)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["node", "n", "tokens", *PARITIES])
 
-    return texts.select("text", "want").mapInArrow(run, ", ".join(["node long, n long, tokens binary", *[f"{s} long" for s in PARITIES]]))
+    return texts.select("text", "want").mapInArrow(tidied(run), ", ".join(["node long, n long, tokens binary", *[f"{s} long" for s in PARITIES]]))
 
 
 def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +229,7 @@ def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def rare_prefixes(sets: DataFrame) -> DataFrame:
     """token, node, n, place: the shared shingles in each set's prefix under the order of (sets that hold it, hash)."""
-    rows = sets.select("node", "n", "tokens").mapInArrow(_explode, "token long, node long, n long")
+    rows = sets.select("node", "n", "tokens").mapInArrow(tidied(_explode), "token long, node long, n long")
     shared = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     mine = Window.partitionBy("node")
     placed = rows.join(shared, "token").withColumn("place", F.col("n") - F.count(F.lit(1)).over(mine) + F.row_number().over(mine.orderBy("df", "token")))
@@ -262,7 +262,7 @@ def prefixes(sets: DataFrame) -> DataFrame:
             up, down = (pa.array([s[:m] if k else s[-m:] for s, m in zip(whole, first, strict=True)], kind) for k in (1, 0))
             yield pa.RecordBatch.from_arrays([batch.column(0), up, down], names=["node", "up", "down"])
 
-    return sets.select("node", "tokens").mapInArrow(run, "node long, up array<long>, down array<long>")
+    return sets.select("node", "tokens").mapInArrow(tidied(run), "node long, up array<long>, down array<long>")
 
 
 def intersect(pairs: DataFrame, sides: DataFrame) -> DataFrame:
@@ -290,7 +290,7 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets link."""
     left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("s"))
     right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("t"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "s", "t").mapInArrow(_verify, "a long, b long")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "s", "t").mapInArrow(tidied(_verify), "a long, b long")
 
 
 def by_key(rows: DataFrame, few: DataFrame, key: str, total: int) -> DataFrame:

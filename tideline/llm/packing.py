@@ -4,14 +4,15 @@ Texts become token ids, ids become pieces of at most ``capacity``, and only the
 ``capacity`` numbers, whatever the input) reaches the driver. There the reduction fixes sets that provably dominate every other
 set holding the same piece, best-fit decreasing packs the rest, both on whole counts, and the plan goes back as a table of a few
 thousand slots: a piece finds its sequence by its length and its number among the pieces of that length. These numbers are dealt
-out over ``spread`` parts of each length, so a length that most pieces share is no single task.
+out over parts of each length, as many as its count asks for, so a length that most pieces share is no single task.
 
-Null texts count as empty; an empty text is a piece of one token (the end id); rows that are repeated are packed as often as they
+Null texts count as empty; an empty text is a piece of one token (the end id); very long texts are cut into as many pieces as they need; rows that are repeated are packed as often as they
 come; an empty table gives an empty result; ties go by (doc_id, piece, start); other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -22,10 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tideline.llm.batches import tidied
 from tideline.llm.scratch import materialise
 
 CAPACITY, END_ID = 1024, 2
-KNOWN_WORDS = 500_000
+#: Words that a worker keeps, of so many characters at most.
+KNOWN_WORDS, KEPT_CHARS = 200_000, 64
+#: Pieces of one length that one task numbers, and into how many parts each length goes at least.
+PART, PARTS = 100_000, 16
 _SPACED = re.compile(r" (?=\S)")
 
 
@@ -36,36 +41,53 @@ PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 LATIN_END = "\u0250"
 
 
+def ranks_of(path: str, special: set[str]) -> dict[bytes, int] | None:
+    """The tokens of a tokenizer's file by their bytes, if it is byte-level BPE whose merges stand in the order of the tokens they make,
+    so that ids are ranks; None if any of that does not hold."""
+    told = json.loads(open(path, encoding="utf-8").read())
+    model, split = told["model"], told.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    if not plain or told.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+        return None
+    vocabulary = model["vocab"]
+    made = [vocabulary.get("".join(m.split(" ") if isinstance(m, str) else m), -1) for m in model["merges"]]
+    if any(a >= b for a, b in zip([-1, *made], made, strict=False)):
+        return None
+    own, rest = set(PRINTED), iter(range(256, 512))
+    byte_of = {chr(b) if b in own else chr(next(rest)): b for b in range(256)}
+    singles = {t for t in vocabulary if t not in special and len(t) == 1}
+    if singles != set(byte_of) or len(made) + len(singles) + len(special & set(vocabulary)) != len(vocabulary):
+        return None
+    return {bytes(byte_of[c] for c in t): i for t, i in vocabulary.items() if t not in special}
+
+
 class WordTokens:
     """Ids of texts by a tokenizer of byte-level BPE, with the ids of words kept.
 
     Such a tokenizer starts a new pre-token at every space before a character that isn't white space, and at a line feed between
-    two such characters. So a text is cut there, and each distinct part is encoded once: all new Latin words of a batch as one text,
-    by the tokenizer's own vocabulary as ranks, others by the tokenizer. Texts with other runs of white space are cut less and
-    keep nothing."""
+    two such characters. So a text is cut there, and each distinct part is encoded once: all new words of a batch as one text, whose
+    tokens tell where a word begins. Texts with other runs of white space are cut less and keep nothing. Words of over KEPT_CHARS
+    characters are encoded where they come and not kept, so that what is kept is bounded in bytes."""
 
     def __init__(self, path: str, limit: int = KNOWN_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {}
         self.encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        letters = {c: b for b, c in enumerate(self._letters())}
         special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
-        ranks = {bytes(letters[c] for c in t): i for t, i in self.tokenizer.get_vocab(False).items() if t not in special}
-        self.fast = tiktoken.Encoding("own", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={})
-        self.spaced = np.zeros(max(ranks.values()) + 1, bool)
-        self.spaced[[i for t, i in ranks.items() if t[:1] == b" "]] = True
         self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
+        self.fast = None
+        if ranks := ranks_of(path, special):
+            import tiktoken
+
+            self.fast = tiktoken.Encoding("own", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={})
+        space = self.tokenizer.encode(" a", add_special_tokens=False).tokens[0][0]  # how the vocabulary writes a space
+        vocabulary = self.tokenizer.get_vocab(False)
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[i for t, i in vocabulary.items() if t[:1] == space and t not in special]] = True
         self.feed = self._ids(["\n"])[0]
 
-    @staticmethod
-    def _letters() -> list[str]:
-        """The character that stands for each byte: printed ones themselves, the others from U+0100 on."""
-        own, rest = set(PRINTED), iter(range(256, 512))
-        return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
-
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.encode(texts, add_special_tokens=False)]
 
@@ -73,29 +95,34 @@ class WordTokens:
         """Ids of words that each open with one known kind of token and have none inside."""
         if not words:
             return []
-        flat = np.array(self.fast.encode_ordinary("".join(words)), "<u4")
+        text = "".join(words)
+        flat = np.array(self.fast.encode_ordinary(text) if self.fast and max(text) < LATIN_END else self.encode([text], add_special_tokens=False)[0].ids, "<u4")
         at = np.flatnonzero(opens(flat))
         if len(at) != len(words):
             return self._ids(words)
         raw, ends = flat.tobytes(), (4 * np.append(at, len(flat))).tolist()
         return [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
-    def _learn(self, words: list[str]) -> None:
-        known, slow = self.known, []
-        known.update(dict.fromkeys(words))
-        lines, inner = [], []
+    def _learn(self, words: list[str]) -> dict[str, bytes | None]:
+        """Ids of words; None for white space that may belong to the next part: such texts go another way."""
+        found: dict[str, bytes | None] = dict.fromkeys(words)
+        lines, inner, other, apart = [], [], [], []
         for w in words:
             line = w[:1] == "\n"
             if not w or w == "\n" or w[-1:].isspace() or w[line : line + 1].isspace():
-                continue  # white space that may belong to the next part: such texts go another way
-            if max(w) >= LATIN_END or self.special.search(w):
-                slow.append(w)
+                continue
+            if self.special.search(w):
+                apart.append(w)
+            elif line:
+                lines.append(w)
             else:
-                (lines if line else inner).append(w)
+                (inner if max(w) < LATIN_END else other).append(w)
         feed = int(np.frombuffer(self.feed, "<u4")[0])
-        known.update(zip(inner, self._together([f" {w}" for w in inner], lambda ids: self.spaced[ids]), strict=True))
-        known.update(zip(lines, self._together(lines, lambda ids: ids == feed), strict=True))
-        known.update(zip(slow, self._ids([w if w[0] == "\n" else f" {w}" for w in slow]), strict=True))
+        for own in (inner, other):
+            found.update(zip(own, self._together([f" {w}" for w in own], lambda ids: self.spaced[ids]), strict=True))
+        found.update(zip(lines, self._together(lines, lambda ids: ids == feed), strict=True))
+        found.update(zip(apart, self._ids([w if w[0] == "\n" else f" {w}" for w in apart]), strict=True))
+        return found
 
     def _plain(self, text: str) -> bytes:
         first, *rest = _SPACED.split(text)
@@ -108,10 +135,13 @@ class WordTokens:
         words = set().union(*parts)
         new = [w for w in words if w not in known]
         if new:
-            if len(known) + len(new) > self.limit:
+            short = [w for w in new if len(w) <= KEPT_CHARS]
+            if len(known) + len(short) > self.limit:
                 known.clear()
-                new = list(words)
-            self._learn(new)
+                short = [w for w in words if len(w) <= KEPT_CHARS]
+            known.update(self._learn(short))
+            if long := [w for w in new if len(w) > KEPT_CHARS]:
+                known = {w: known[w] for w in words if len(w) <= KEPT_CHARS} | self._learn(long)
         skip = len(self.feed)
         for text, words in zip(texts, parts, strict=True):
             try:
@@ -156,7 +186,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                 types = [part.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
 
-    out = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, ids binary")
+    out = docs.select("doc_id", "text").mapInArrow(tidied(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, ids binary")
     return out if with_ids else out.drop("ids")
 
 
@@ -272,11 +302,14 @@ def slots(bins: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]:
     return {s: np.array(rows, np.int64) for s, rows in found.items()}
 
 
-def pack(cut_docs: DataFrame, capacity: int = CAPACITY, spread: int = 16) -> DataFrame:
+def pack(cut_docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """The pieces with sequence_id and offset. cut_docs: doc_id, piece, start, length and any more."""
     spark = cut_docs.sparkSession
-    held = materialise(cut_docs.withColumn("__part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(spread)).cast("int")), "pieces")
-    # capacity * spread rows at most.
+    held = materialise(cut_docs.withColumn("__hash", F.xxhash64("doc_id", "piece", "start")), "pieces")
+    # ``capacity`` rows at most; then PARTS for each of them, and one more for every PART pieces.
+    sizes = held.groupBy("length").count().collect()
+    parts = spark.createDataFrame([(r["length"], max(PARTS, -(-r["count"] // PART))) for r in sizes], "length long, __parts long")
+    held = held.join(F.broadcast(parts), "length").withColumn("__part", F.pmod("__hash", "__parts")).drop("__hash", "__parts")
     dealt = sorted((r["length"], r["__part"], r["count"]) for r in held.groupBy("length", "__part").count().collect())
     counts: dict[int, int] = {}
     base = []
@@ -284,7 +317,7 @@ def pack(cut_docs: DataFrame, capacity: int = CAPACITY, spread: int = 16) -> Dat
         base.append((length, part, counts.get(length, 0)))
         counts[length] = counts.get(length, 0) + n
     table = slots(plan(counts, capacity))
-    first = spark.createDataFrame(base, "length long, __part int, __first long")
+    first = spark.createDataFrame(base, "length long, __part long, __first long")
     number = F.row_number().over(Window.partitionBy("length", "__part").orderBy("doc_id", "piece", "start"))
     ranked = held.withColumn("__number", number).join(F.broadcast(first), ["length", "__part"]).withColumn("__rank", (F.col("__first") + F.col("__number") - 1).cast("long"))
     names = cut_docs.columns

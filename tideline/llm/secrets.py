@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm.automata import Automaton, symbol
+from tideline.llm.batches import tidied
 from tideline.llm.scratch import materialise
 
 KINDS = ("assign", "access", "hex")
@@ -159,7 +160,7 @@ def find(docs: DataFrame) -> DataFrame:
                 plain = pa.array([plain_counts(texts).tolist()] + [None] * (batch.num_rows - 1), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), _arrow_spans(base), _arrow_spans(more), plain], names=["doc_id", "base", "more", "plain"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, base {SPANS}, more {SPANS}, plain array<long>")
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), f"doc_id {kind}, base {SPANS}, more {SPANS}, plain array<long>")
 
 
 def bar(values: list[str], folds: int = 5) -> float:
@@ -262,7 +263,7 @@ def redact(docs: DataFrame, by: str = "[secret]") -> DataFrame:
                 columns["n_chars"] = pa.array([c if a == b else len(a) for a, b, c in zip(new, texts, columns["n_chars"].to_pylist(), strict=True)], kind)
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
 
 
 def joined(spans) -> F.Column:
