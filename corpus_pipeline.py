@@ -1,8 +1,9 @@
 """From documents to packed sequences: quality, exact copies, near copies, secrets, packing.
 
 Every stage takes (spark, docs, sf_dir), reads all that its predecessor kept, and returns a DataFrame; all but the last return the
-columns of documents. Rows are told apart by doc_id and text: of rows that repeat both, the exact stage keeps one; rows that share
-a doc_id and differ in text stay apart there, and from the near-copy stage on go or stay together. Null texts count as empty.
+columns of documents (extra ones, too, whatever their names). The exact stage tells rows apart by where they are stored, so one row of
+each group stays, also where rows repeat; from the near-copy stage on rows that share a doc_id and differ in text go or stay together.
+Null texts count as empty; texts of any length are read whole; an empty table passes every stage as one.
 """
 
 from __future__ import annotations
@@ -29,13 +30,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts, white space aside: the longest, then the one of least id."""
-    found = materialise(exact_dedup.deduplicate(spark, docs), "copies").select("doc_id", "digest", "kept")
-    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__gone"))
-    rows = docs.withColumn("__digest", exact_dedup.sha256(exact_dedup.normalised(F.col("text"))))
-    left = _without(rows, gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__gone")))
-    if not found.filter("kept").groupBy("doc_id", "digest").count().filter("count > 1").isEmpty():
-        left = left.dropDuplicates(["doc_id", "__digest"])
-    return left.select(*docs.columns)
+    return exact_dedup.drop_copies(spark, docs).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +46,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their places in sequences of 1024 tokens."""
-    return packing.pack(packing.pieces(docs, packing.default_tokenizer()))
+    """Pieces of all documents with their token ids and their places in sequences of 1024 tokens."""
+    return packing.pack(packing.pieces(docs, packing.default_tokenizer(), with_ids=True))
 
 
 STAGES = [("quality", keep_good), ("exact copies", drop_copies), ("near copies", drop_near_copies), ("secrets", mask_secrets), ("packing", pack)]
