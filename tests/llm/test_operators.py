@@ -1,5 +1,6 @@
 """Every operator on messy rows, against brute force or an exact round trip."""
 
+import itertools
 import json
 import random
 import re
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.llm import chat, components, exact_dedup, jaccard_join, packing, personal_data, quality, secrets, sentence_pieces, shards, shingles, telephony
+from tideline.llm import chat, columns, components, exact_dedup, jaccard_join, packing, personal_data, quality, secrets, sentence_pieces, shards, shingles, telephony
 from tideline.llm.automata import Automaton
 
 random.seed(4)
@@ -155,6 +156,28 @@ def test_single_digits_and_long_tokens(spark):
     assert [tuple(s) for s in got[100]] == [(12, 25, "phone")] and [tuple(s) for s in got[101]] == [(13, 13 + len(long), "email")] and not got[102]
 
 
+def test_places_in_long_texts(spark):
+    kinds = [lambda k: f"b{k}@mail.example.com", lambda k: f"10.2.{k % 256}.9", lambda k: "4272 6830 2535 6771", lambda k: f"+1 (234) 555-{k:04d}", lambda k: f"{k}1234x", lambda k: f"{k} 12", lambda k: "é"]
+    long = " ".join(random.choice(kinds)(k) for k in range(6000))
+    got = personal_data.find(spark.createDataFrame([(1, long)], "doc_id long, text string")).collect()[0]
+    base = base_personal(long)
+    assert [(s["start"], s["end"], s["kind"]) for s in got["base"]] == base and len(got["seen"]) > 4000
+    for c in got["seen"]:
+        assert long[c["start"] : c["end"]] == c["token"] and c["kind"] == next((k for a, b, k in base if a < c["end"] and b > c["start"]), None)
+
+
+def test_sums_and_halving(spark):
+    lists = [[random.randrange(9) for _ in range(n)] for n in (0, 1, 63, 64, 65, 128, 5000)]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(lists)], "id int, v array<int>")
+    for r in df.select("v", columns.sums_before(F.col("v")).alias("s")).collect():
+        assert r["s"] == [0, *itertools.accumulate(r["v"])][: len(r["v"])]
+    spans = [(2, 4), (4, 5), (9, 12)]
+    for n in range(4):
+        held = spark.createDataFrame([(spans[:n], at) for at in range(14)], "s array<struct<start:int,end:int>>, at int")
+        for r in held.select("at", columns.first_ending_after(F.col("s"), F.col("at")).alias("k")).collect():
+            assert r["k"] == sum(b <= r["at"] for _, b in spans[:n])
+
+
 # ---- 3
 
 

@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideline.llm.columns import first_ending_after, let, starts_at, sums_before
 from tideline.llm.scratch import materialise
 
 KINDS = ("email", "ip", "card", "phone")
@@ -71,20 +72,19 @@ def _valid(kind: str, value: Column) -> Column:
 
 def kind_spans(text: Column, kind: str) -> Column:
     """Valid matches of a kind: their places are sums of the lengths of what stands between and of the matches before."""
-    regex = F.lit(PATTERNS[kind])
-    pairs = F.arrays_zip(F.transform(F.split(text, PATTERNS[kind], -1), lambda g: F.length(g)).alias("gap"), F.regexp_extract_all(text, regex, F.lit(0)).alias("value"))
-    empty = F.array().cast(SPAN)
-    start = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
-
-    def step(acc: Column, p: Column) -> Column:
-        a = acc["at"] + p["gap"]
-        b = a + F.coalesce(F.length(p["value"]), F.lit(0))
-        own = F.array(F.struct(a.alias("start"), b.alias("end"), F.lit(kind).alias("kind")))
-        return F.struct(b.alias("at"), F.when(p["value"].isNotNull() & _valid(kind, p["value"]), F.concat(acc["spans"], own)).otherwise(acc["spans"]).alias("spans"))
-
-    found = F.aggregate(pairs, start, step)["spans"]
+    gaps = F.transform(F.split(text, PATTERNS[kind], -1), lambda g: F.length(g))
+    pairs = F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)).alias("value"))
+
+    def spans(p: Column) -> Column:
+        widths = F.transform(p, lambda x: x["gap"] + F.coalesce(F.length(x["value"]), F.lit(0)))
+        return let(sums_before(widths), lambda before: F.transform(p, lambda x, k: told(x, F.get(before, k) + x["gap"])))
+
+    def told(x: Column, start: Column) -> Column:
+        valid = x["value"].isNotNull() & _valid(kind, x["value"])
+        return F.when(valid, F.struct(start.alias("start"), (start + F.length(x["value"])).alias("end"), F.lit(kind).alias("kind")))
+
     hint = F.contains(text, F.lit("@")) if kind == "email" else text.rlike(HINTS[kind])
-    return F.when(hint, found).otherwise(empty)
+    return F.when(hint, F.filter(let(pairs, spans), lambda s: s.isNotNull())).otherwise(F.array().cast(SPAN))
 
 
 def in_order(spans: Column) -> Column:
@@ -94,54 +94,85 @@ def in_order(spans: Column) -> Column:
     return F.transform(F.array_sort(keyed), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
 
 
+def _touching(start: Column, end: Column) -> Column:
+    """Kind of the first base span, in their order, that shares a place with a range; null if none does."""
+
+    def first(kind: str, order: int) -> Column:
+        met = F.get(F.col(kind), first_ending_after(F.col(kind), start))
+        return F.when((F.size(kind) > 0) & (met["start"] < end), F.struct(met["start"].alias("start"), F.lit(order).alias("order"), met["kind"].alias("kind")))
+
+    return F.array_min(F.array(*[first(k, n) for n, k in enumerate(KINDS)]))["kind"]
+
+
+def _bounded(at: Column) -> Column:
+    """Whether a base span starts at a place, or ends before the character before it."""
+
+    def by(kind: str) -> Column:
+        spans = F.col(kind)
+        hit = let(first_ending_after(spans, at - 2), lambda k: (F.get(spans, k)["end"] == at - 1) | (F.get(spans, k)["start"] == at) | (F.get(spans, k + 1)["start"] == at))
+        return F.when(F.size(spans) > 0, F.coalesce(hit, F.lit(False))).otherwise(False)
+
+    return by("email") | by("ip") | by("card") | by("phone")
+
+
+def _starts(words: Column) -> Column:
+    return sums_before(F.transform(words, lambda w: F.length(w) + 1))
+
+
+def _parted(words: Column) -> Column:
+    """Words, with runs parted where a base span starts or ends."""
+
+    def runs(w: Column, start: Column) -> Column:
+        groups = F.split(w, JOIN, -1)
+        between = lambda k, begins: F.when(k == 0, "").when(_bounded(start + F.get(begins, k)), " ").otherwise(JOIN)
+        return let(groups, lambda g: let(_starts(g), lambda begins: F.split(F.array_join(F.transform(g, lambda x, k: F.concat(between(k, begins), x)), ""), " ", -1)))
+
+    return let(words, lambda w: let(_starts(w), lambda starts: F.flatten(F.transform(w, lambda x, k: F.when(F.contains(x, F.lit(JOIN)), runs(x, F.get(starts, k))).otherwise(F.array(x))))))
+
+
 def find(docs: DataFrame) -> DataFrame:
     """key, doc_id, base, seen: base spans, and candidates with start, end, token, before1, before2, run (where its run starts) and kind (null if no seed)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     held = docs.select(F.monotonically_increasing_id().alias("key"), "doc_id", text.alias("text"))
     for kind in KINDS:
         held = held.withColumn(kind, kind_spans(F.col("text"), kind))
-    held = held.withColumn("base", in_order(F.concat(*KINDS))).drop(*KINDS)
-    gate = F.col("text").rlike(GATE)
-    joined_text = F.regexp_replace(F.translate("text", JOIN, " "), GROUP, f"$1{JOIN}")
-
-    def part(runs: Column, at: Column) -> Column:
-        return F.when(F.substring(runs, at, F.lit(1)) == JOIN, F.overlay(runs, F.lit(" "), at, F.lit(1))).otherwise(runs)
-
-    parted = F.aggregate("base", joined_text, lambda t, s: part(part(t, s["start"]), s["end"] + 1))
-    held = held.withColumn("words", F.when(gate, F.split(parted, r"[\x20\x09-\x0D]", -1)).otherwise(F.array().cast("array<string>")))
+    held = held.withColumn("base", in_order(F.concat(*KINDS)))
+    held = held.withColumn("joined", F.when(F.col("text").rlike(GATE), F.regexp_replace(F.translate("text", JOIN, " "), GROUP, f"$1{JOIN}")))
+    split = F.split("joined", r"[\x20\x09-\x0D]", -1)
+    words = F.when(F.contains("joined", F.lit(JOIN)), _parted(split)).otherwise(split)
+    held = held.withColumn("words", F.when(F.col("joined").isNotNull(), words).otherwise(F.array().cast("array<string>")))
     spots = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get("words", i).rlike(CANDIDATE) | F.contains(F.get("words", i), F.lit(JOIN)))
     held = held.withColumn("spots", F.when(F.size("words") > 0, spots).otherwise(F.array().cast("array<int>")))
 
     def word(at: Column) -> Column:
         return F.when(at >= 0, F.lower(F.translate(F.get("words", at), JOIN, " "))).otherwise("")
 
-    def told(i: Column) -> Column:
-        start = F.aggregate(F.slice("words", 1, i), F.lit(0), lambda a, w: a + F.length(w) + 1)
-        return F.struct(start.alias("start"), F.get("words", i).alias("run"), word(i - 1).alias("before1"), word(i - 2).alias("before2"))
-
-    held = held.withColumn("places", F.transform("spots", told))
-
     def candidate(start: Column, token: Column, before1: Column, before2: Column, run: Column) -> Column:
         end = start + F.length(token)
-        kind = F.get(F.transform(F.filter("base", lambda s: (s["start"] < end) & (s["end"] > start)), lambda s: s["kind"]), F.lit(0))
-        return F.struct(start.alias("start"), end.alias("end"), token.alias("token"), before1.alias("before1"), before2.alias("before2"), run.alias("run"), kind.alias("kind"))
+        return F.struct(start.alias("start"), end.alias("end"), token.alias("token"), before1.alias("before1"), before2.alias("before2"), run.alias("run"), _touching(start, end).alias("kind"))
 
     def inner(c: Column) -> Column:
         """The words of a run, each with the words before it."""
-        words = F.split(c["run"], JOIN, -1)
 
-        def told(w: Column, k: Column) -> Column:
-            start = c["start"] + F.aggregate(F.slice(words, 1, k), F.lit(0), lambda a, x: a + F.length(x) + 1)
+        def told(w: Column, k: Column, words: Column, starts: Column) -> Column:
             before1 = F.when(k == 0, c["before1"]).otherwise(F.get(words, k - 1))
-            return candidate(start, w, before1, F.when(k == 0, c["before2"]).when(k == 1, c["before1"]).otherwise(F.get(words, k - 2)), c["start"])
+            before2 = F.when(k == 0, c["before2"]).when(k == 1, c["before1"]).otherwise(F.get(words, k - 2))
+            return F.when(w.rlike(CANDIDATE), candidate(c["start"] + F.get(starts, k), w, before1, before2, c["start"]))
 
-        return F.filter(F.transform(words, told), lambda x: x["token"].rlike(CANDIDATE) & x["kind"].isNull())
+        told_all = let(F.split(c["run"], JOIN, -1), lambda words: let(_starts(words), lambda starts: F.transform(words, lambda w, k: told(w, k, words, starts))))
+        return F.filter(told_all, lambda x: x.isNotNull() & x["kind"].isNull())
 
     def labelled(c: Column) -> Column:
-        whole = F.filter(F.array(candidate(c["start"], F.translate(c["run"], JOIN, " "), c["before1"], c["before2"], c["start"])), lambda x: x["token"].rlike(CANDIDATE))
+        whole = F.filter(F.array(F.when(c["token"].rlike(CANDIDATE), candidate(c["start"], c["token"], c["before1"], c["before2"], c["start"]))), lambda x: x.isNotNull())
         return F.when(F.contains(c["run"], F.lit(JOIN)), F.concat(whole, inner(c))).otherwise(whole)
 
-    return held.select("key", "doc_id", "base", F.flatten(F.transform("places", labelled)).alias("seen"))
+    def place(i: Column, start: Column) -> Column:
+        run = F.get("words", i)
+        return F.struct(start.alias("start"), run.alias("run"), F.translate(run, JOIN, " ").alias("token"), word(i - 1).alias("before1"), word(i - 2).alias("before2"))
+
+    seen = let(starts_at(F.col("words"), F.col("spots")), lambda starts: F.flatten(F.transform("spots", lambda i, k: let(place(i, F.get(starts, k)), labelled))))
+    none = F.array().cast("array<struct<start:int,end:int,token:string,before1:string,before2:string,run:int,kind:string>>")
+    return held.select("key", "doc_id", "base", F.when(F.size("spots") > 0, seen).otherwise(none).alias("seen"))
 
 
 def contexts(c: str = "c") -> Column:
