@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideline.llm.columns import let, sums_before
+
 #: The control strings of the template.
 TURN, MID, END = "<s>[INST]", "[/INST]\n", "</s>\n"
 CONTROL = r"</?s>|\[/?INST\]"
@@ -64,14 +66,13 @@ def format_conversations(rows: DataFrame) -> DataFrame:
     held = held.withColumn("fine", _same(parse(F.col("plain")), F.col("source")))
     held = held.withColumn("formatted", F.when(F.col("fine"), F.col("plain")).otherwise(render(F.col("source"), True)))
     held = held.withColumn("turns", parse(F.col("formatted")))
-    spans = F.aggregate(
-        "turns",
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,length:long>>").alias("spans")),
-        lambda acc, t: F.struct(
-            (acc["at"] + len(TURN) + len(MID) + len(END) + t["head"] + t["width"]).cast("long").alias("at"),
-            F.when(t["role"] != "assistant", acc["spans"]).otherwise(F.concat(acc["spans"], F.array(F.struct((acc["at"] + len(TURN) + len(MID) + t["head"]).cast("long").alias("start"), t["width"].cast("long").alias("length"))))).alias("spans"),
-        ),
-    )["spans"]
+    widths = F.transform("turns", lambda t: t["head"] + t["width"] + len(TURN) + len(MID) + len(END))
+
+    def loss(t: Column, before: Column) -> Column:
+        start = before + len(TURN) + len(MID) + t["head"]
+        return F.when(t["role"] == "assistant", F.struct(start.cast("long").alias("start"), t["width"].cast("long").alias("length")))
+
+    spans = let(sums_before(widths), lambda before: F.filter(F.transform("turns", lambda t, k: loss(t, F.get(before, k))), lambda s: s.isNotNull()))
     return held.select("conv_id", "formatted", "turns", spans.alias("loss_spans"), (~F.col("fine")).alias("escaped"), _same(F.col("turns"), F.col("source")).alias("identical"))
 
 
