@@ -29,8 +29,9 @@ from tideline.llm.scratch import materialise
 CAPACITY, END_ID = 1024, 2
 #: Words that a worker keeps, of so many characters at most.
 KNOWN_WORDS, KEPT_CHARS = 200_000, 64
-#: Pieces of one length that one task numbers, and into how many parts each length goes at least.
-PART, PARTS = 100_000, 16
+#: Pieces of one length that are numbered as one part, and into how many parts each length goes at least. With its ids a whole
+#: piece has 4 KB, so a part has 80 MB at most; the driver gets a row for each part.
+PART, PARTS = 20_000, 64
 _SPACED = re.compile(r" (?=\S)")
 
 
