@@ -106,13 +106,17 @@ class WordTokens:
 
     def _learn(self, words: list[str]) -> dict[str, bytes | None]:
         """Ids of words; None for white space that may belong to the next part: such texts go another way."""
-        found: dict[str, bytes | None] = dict.fromkeys(words)
-        lines, inner, other, apart = [], [], [], []
-        for w in words:
+        # Printable ASCII without a control string, as most words are, needs no look at its ends.
+        clear = not self.special.search("\n".join(words))
+        inner = [w for w in words if w and w.isascii() and w.isprintable()] if clear else []
+        rest = [w for w in words if not (w and w.isascii() and w.isprintable())] if clear else words
+        found: dict[str, bytes | None] = dict.fromkeys(rest)
+        lines, other, apart = [], [], []
+        for w in rest:
             line = w[:1] == "\n"
             if not w or w == "\n" or w[-1:].isspace() or w[line : line + 1].isspace():
                 continue
-            if self.special.search(w):
+            if not clear and self.special.search(w):
                 apart.append(w)
             elif line:
                 lines.append(w)
