@@ -6,8 +6,10 @@ import random
 import re
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -220,6 +222,21 @@ def test_jaccard_by_brute_force(spark, docs, none, monkeypatch):
     assert jaccard_join.join(none).count() == 0
 
 
+def test_counts_go_on_over_any_batches():
+    rows = [(1, 10, 0), (1, 11, 0), (2, 10, 0), (3, 3, 4), (4, 11, 0), (5, 5, 2), (6, 6, 1), (7, 12, 0), (7, 13, -1)]
+    for cuts in itertools.product((False, True), repeat=len(rows)):
+        groups = [[]]
+        for row, cut in zip(rows, cuts, strict=True):
+            groups[-1].append(row)
+            groups += [[], []] if cut else []
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[c] for r in g], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], names=["token", "node", "k"]) for g in groups]
+        told = Counter()
+        for batch in jaccard_join._shared(iter(batches)):
+            for node, c in zip(*(batch.column(x).to_pylist() for x in ("node", "c")), strict=True):
+                told[node] += c
+        assert told == {3: 4, 5: 2, 6: 1, 10: 1, 11: 1, 12: 1}
+
+
 def test_sets_that_share_64_bits_stay_apart(spark, monkeypatch):
     names = jaccard_join._names
     monkeypatch.setattr(jaccard_join, "_names", lambda tokens: (names(tokens)[0] % 3, names(tokens)[1]))

@@ -170,7 +170,8 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, node, k = token[k <= 0], node[k <= 0], k[k <= 0]
         fresh = np.ones(len(token), bool)
         fresh[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
-        fresh[:1] &= [last != (t, n) for t, n in zip(token[:1].tolist(), node[:1].tolist(), strict=True)]
+        if len(token):  # a batch may hold counts alone
+            fresh[0] = last != (int(token[0]), int(node[0]))
         token, node, k = token[fresh], node[fresh], k[fresh]
         if len(token):
             start, more = np.ones(len(token), bool), np.zeros(len(token), bool)
