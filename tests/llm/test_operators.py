@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.llm import chat, columns, components, exact_dedup, jaccard_join, packing, personal_data, quality, secrets, sentence_pieces, shards, shingles, telephony
+from tideline.llm import batches, chat, columns, components, exact_dedup, jaccard_join, packing, personal_data, quality, secrets, sentence_pieces, shards, shingles, telephony
 from tideline.llm.automata import Automaton
 
 random.seed(4)
@@ -339,6 +339,27 @@ def test_packing(docs, none):
     assert packing.pack(packing.pieces(none, path)).count() == 0
 
 
+def test_a_worker_keeps_no_words_for_other_work(docs):
+    def told(rows):
+        for batch in rows:
+            yield pa.RecordBatch.from_arrays([pa.array([",".join(batches._kept)] * batch.num_rows)], names=["kept"])
+
+    path = packing.default_tokenizer()
+    cut = lambda: packing.pieces(docs[0].repartition(4), path).select(F.count(F.lit(1))).collect()
+    held = lambda use: {r["kept"] for r in docs[0].repartition(4).select("doc_id").mapInArrow(batches.tidied(told, use), "kept string").collect()}
+    cut()
+    assert "packing" in held("packing")
+    assert held(None) == {""}
+    made = packing.word_tokens(path)
+    assert packing.word_tokens(path) is made
+    for _ in batches.tidied(iter, "packing")([]):
+        pass
+    assert packing.word_tokens(path) is made
+    for _ in batches.tidied(iter)([]):
+        pass
+    assert packing.word_tokens(path) is not made
+
+
 def test_word_tokens_equal_the_tokenizer():
     from tokenizers import Tokenizer
 

@@ -3,10 +3,13 @@
 import re
 
 import duckdb
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
 from tideline.llm import jaccard_join, secrets
+from tideline.llm.batches import BATCH_BYTES, BATCH_SETTING
 from tideline.llm.queries import oracle_sql, queries
 
 
@@ -56,3 +59,21 @@ def test_registered(spark, sf):
         assert columns == sorted(want.columns)
         got, want = (f[columns].sort_values(key).reset_index(drop=True) for f in (got, want))
         assert (got == want).all().all(), name
+
+
+def test_stages_bound_the_bytes_of_batches(spark):
+    def told(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    docs = spark.range(0, 6000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("plain words "), 200).alias("text"))
+    largest = lambda: max(r["n"] for r in docs.mapInArrow(told, "n long").collect())
+    spark.conf.unset(BATCH_SETTING)
+    try:
+        corpus_pipeline.mask_secrets(spark, docs, "")
+        assert largest() < 2 * BATCH_BYTES
+        spark.conf.set(BATCH_SETTING, "64m")
+        corpus_pipeline.mask_secrets(spark, docs, "")
+        assert largest() > 2 * BATCH_BYTES
+    finally:
+        spark.conf.unset(BATCH_SETTING)

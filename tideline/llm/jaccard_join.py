@@ -256,12 +256,14 @@ def prefixes(sets: DataFrame) -> DataFrame:
     """node, up, down: each set's prefixes under both hash orders."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            whole = [np.frombuffer(s.as_buffer(), np.int64) for s in batch.column(1)]
-            first = [len(s) - need(len(s)) + 1 for s in whole]
-            kind = pa.list_(pa.int64())
-            up, down = (pa.array([s[:m] if k else s[-m:] for s, m in zip(whole, first, strict=True)], kind) for k in (1, 0))
-            yield pa.RecordBatch.from_arrays([batch.column(0), up, down], names=["node", "up", "down"])
+        for many in batches:
+            for at in range(0, many.num_rows, SLICE):
+                batch = many.slice(at, SLICE)
+                whole = [np.frombuffer(s.as_buffer(), np.int64) for s in batch.column(1)]
+                first = [len(s) - need(len(s)) + 1 for s in whole]
+                kind = pa.list_(pa.int64())
+                up, down = (pa.array([s[:m] if k else s[-m:] for s, m in zip(whole, first, strict=True)], kind) for k in (1, 0))
+                yield pa.RecordBatch.from_arrays([batch.column(0), up, down], names=["node", "up", "down"])
 
     return sets.select("node", "tokens").mapInArrow(tidied(run), "node long, up array<long>, down array<long>")
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tideline.llm.batches import tidied
+from tideline.llm.batches import kept, tidied
 from tideline.llm.scratch import materialise
 
 CAPACITY, END_ID = 1024, 2
@@ -155,14 +155,9 @@ class WordTokens:
                 yield self._plain(text)
 
 
-_made: dict[str, WordTokens] = {}
-
-
 def word_tokens(path: str) -> WordTokens:
     """One for each worker process, so that its words outlive a task."""
-    if path not in _made:
-        _made[path] = WordTokens(path)
-    return _made[path]
+    return kept("packing", path, WordTokens)
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -191,7 +186,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                 types = [part.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
 
-    out = docs.select("doc_id", "text").mapInArrow(tidied(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, ids binary")
+    out = docs.select("doc_id", "text").mapInArrow(tidied(run, "packing"), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, ids binary")
     return out if with_ids else out.drop("ids")
 
 
@@ -338,7 +333,7 @@ def pack(cut_docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 sequence[own], offset[own] = rows[k, 1] + rank[own] - rows[k, 0], rows[k, 2]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
-    return ranked.select(*names, "__rank").mapInArrow(run, schema)
+    return ranked.select(*names, "__rank").mapInArrow(tidied(run, "packing"), schema)
 
 
 def default_tokenizer() -> str:

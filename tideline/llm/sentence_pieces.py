@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.batches import tidied
+from tideline.llm.batches import kept, tidied
 
 SPACE = "▁"
 #: Words that a worker keeps, of so many characters at most; their ids are bounded with them.
@@ -389,14 +389,9 @@ def _whole_bytes(run: bytes) -> str:
     return "".join(out)
 
 
-_made: dict[str, Pieces] = {}
-
-
 def pieces_of(path: str) -> Pieces:
     """One for each worker process, so that its words and pairs outlive a task."""
-    if path not in _made:
-        _made[path] = Pieces(path)
-    return _made[path]
+    return kept("pieces", path, Pieces)
 
 
 def _schema(df: DataFrame, name: str, kind: str) -> str:
@@ -415,10 +410,10 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", end:
                 made = [ids_of + last for ids_of in model.encode_all([t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()])]
                 offsets = np.concatenate([[0], np.cumsum([len(m) // 4 for m in made])]).astype(np.int32)
                 column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(made), np.int32)))
-                kept = [k for k, f in enumerate(batch.schema) if f.name != ids]
-                yield pa.RecordBatch.from_arrays([batch.column(k) for k in kept] + [column], names=[batch.schema[k].name for k in kept] + [ids])
+                rest = [k for k, f in enumerate(batch.schema) if f.name != ids]
+                yield pa.RecordBatch.from_arrays([batch.column(k) for k in rest] + [column], names=[batch.schema[k].name for k in rest] + [ids])
 
-    return df.mapInArrow(tidied(run), _schema(df, ids, "array<int>"))
+    return df.mapInArrow(tidied(run, "pieces"), _schema(df, ids, "array<int>"))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -433,10 +428,10 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
                 values, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_pylist()
                 present = lists.is_valid().to_pylist()  # a null list counts as empty
                 made = pa.array([model.decode(values[a:b].tolist() if here else []) for a, b, here in zip(ends[:-1], ends[1:], present, strict=True)], pa.string())
-                kept = [k for k, f in enumerate(batch.schema) if f.name != text]
-                yield pa.RecordBatch.from_arrays([batch.column(k) for k in kept] + [made], names=[batch.schema[k].name for k in kept] + [text])
+                rest = [k for k, f in enumerate(batch.schema) if f.name != text]
+                yield pa.RecordBatch.from_arrays([batch.column(k) for k in rest] + [made], names=[batch.schema[k].name for k in rest] + [text])
 
-    return df.mapInArrow(tidied(run), _schema(df, text, "string"))
+    return df.mapInArrow(tidied(run, "pieces"), _schema(df, text, "string"))
 
 
 def default_model() -> str:
