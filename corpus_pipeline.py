@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm import exact_dedup, jaccard_join, packing, quality, secrets
-from tideline.llm.batches import bound_batches
+from tideline.llm.batches import bound_batches, collect_garbage
 from tideline.llm.scratch import materialise
 
 #: Up to this number of dropped rows (under 64 bytes each) every executor gets them; beyond, both sides are shuffled.
@@ -25,6 +25,7 @@ def _without(docs: DataFrame, dropped: DataFrame, same: Column) -> DataFrame:
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality network accepts."""
+    collect_garbage(spark)
     bound_batches(spark)
     network = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.score(docs, network).filter("predicted = 1").select(*docs.columns)
@@ -32,11 +33,13 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts, white space aside: the longest, then the one of least id."""
+    collect_garbage(spark)
     return exact_dedup.drop_copies(spark, docs).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least id of each component of similar texts."""
+    collect_garbage(spark)
     bound_batches(spark)
     found = materialise(jaccard_join.join(docs), "near-copies")
     gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
@@ -45,12 +48,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with their secrets masked."""
+    collect_garbage(spark)
     bound_batches(spark)
     return secrets.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their token ids and their places in sequences of 1024 tokens."""
+    collect_garbage(spark)
     bound_batches(spark)
     return packing.pack(packing.pieces(docs, packing.default_tokenizer(), with_ids=True))
 

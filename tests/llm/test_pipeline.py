@@ -77,3 +77,13 @@ def test_stages_bound_the_bytes_of_batches(spark):
         assert largest() > 2 * BATCH_BYTES
     finally:
         spark.conf.unset(BATCH_SETTING)
+
+
+def test_stages_begin_with_a_collection(spark, sf):
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    full = lambda: sum(b.getCollectionCount() for b in beans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    docs = spark.createDataFrame([(1, "a b c"), (2, "d e f")], "doc_id long, text string")
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        before = full()
+        stage(spark, docs, sf)
+        assert full() > before, name

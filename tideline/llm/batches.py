@@ -23,6 +23,13 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_SETTING, f"{BATCH_BYTES}b")
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Have executors collect their garbage, and so give the system the part of their heaps that they don't need; else a heap that one stage
+    let grow stays beside the workers of the next. One task for each core, so that on an idle cluster every executor gets some."""
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(0, cores, 1, cores).selectExpr("reflect('java.lang.System', 'gc')").collect()
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string or binary column and the n + 1 offsets into them; a null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
