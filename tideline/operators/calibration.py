@@ -8,11 +8,16 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tideline.operators.filters import make_filter
+from tideline.operators.filters import LN_2PI, make_filter
 from tideline.operators.linalg import nees, symmetric
+from tideline.operators.models import build
+from tideline.operators.side_by_side import BUFFER, Runs, buffers, doubles, even, handed_out, lists, moved, steps, times
 from tideline.operators.smoothing import rauch_tung_striebel
 from tideline.plans.frames import KEYS, ORDER
 
@@ -207,22 +212,100 @@ def expectation_maximisation(config: dict, ts_ns: list[int], values: list[dict[i
 
 
 def em_by_key(ticks: DataFrame, config: dict, rounds: int = 30, keys=KEYS, order=ORDER) -> DataFrame:
-    """EM of every series: keys, q (flat), r, ll. A series is held by one task, as its smoother needs it whole."""
-    kinds = ", ".join(f"`{k}` {ticks.schema[k].dataType.simpleString()}" for k in keys)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(order))
-        own = {k: [pdf[k].iloc[0]] for k in keys}
-        if len(pdf) < 3:
-            return pd.DataFrame(own | {"q": [None], "r": [None], "ll": [None]})
-        started = copy.deepcopy(config)
-        values = [{0: float(v)} for v in pdf["price"]]
-        x0 = list(started.get("x0", [0.0] * make_filter(config).motion.n))
-        started["x0"] = [values[0][0], *x0[1:]]
-        q, r, ll = expectation_maximisation(started, pdf["ts_ns"].tolist(), values, rounds)
-        return pd.DataFrame(own | {"q": [q.ravel().tolist()], "r": [r], "ll": [ll]})
-
-    return ticks.groupBy(*keys).applyInPandas(run, f"{kinds}, q array<double>, r array<double>, ll double")
+    """EM of every series: keys, q (flat), r, ll. A series is held by one task, as its smoother needs it whole; the series of a buffer
+    go side by side. A row without a price is a step without a reading."""
+    names = list(dict.fromkeys([*keys, *order, "ts_ns", "price"]))
+    schema = T.StructType([*[ticks.schema[k] for k in keys], T.StructField("q", T.ArrayType(T.DoubleType())), T.StructField("r", T.ArrayType(T.DoubleType())), T.StructField("ll", T.DoubleType())])
+
+    def run(batches):
+        for columns in whole_series(batches, keys):
+            runs = Runs(columns, keys)
+            q, r, ll = em_side_by_side(config, runs, columns["ts_ns"].to_numpy(), doubles(columns["price"]), rounds)
+            short = pa.array(runs.lengths < 3)
+            told = [lists(q.reshape(-1, len(runs)).T), lists(r.T), pa.array(ll)]
+            yield from handed_out({k: columns[k].take(pa.array(runs.starts)) for k in keys} | {c: pc.if_else(short, pa.scalar(None, a.type), a) for c, a in zip(("q", "r", "ll"), told, strict=True)})
+
+    return ticks.select(*names).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+def whole_series(batches, keys, rows: int = BUFFER):
+    """Buffers that end where a series ends: a longer one is held whole."""
+    held: dict | None = None
+    for columns in buffers(batches, rows):
+        if held is not None:
+            columns = {c: pa.concat_arrays([held[c], a]) for c, a in columns.items()}
+        cut = int(Runs(columns, keys).first[-1])
+        if cut:
+            yield {c: a.slice(0, cut) for c, a in columns.items()}
+        held = {c: a.slice(cut) for c, a in columns.items()}
+    if held is not None:
+        yield held
+
+
+def em_side_by_side(config: dict, runs: Runs, ts_ns: np.ndarray, z: np.ndarray, rounds: int, floor: float = 1e-12) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``expectation_maximisation`` of every run by its prices z (NaN: none): q (n, n, runs), r (channels, runs), ll (runs)."""
+    model = build(config)
+    n, k, h = model.motion.n, len(runs), model.observation.row(0, model.motion.n)[:, None]
+    has = ~np.isnan(z)
+    second = np.minimum(runs.starts + 1, runs.starts + runs.lengths - 1)
+    dt = (ts_ns[second] - ts_ns[runs.starts]) / 1e9
+    f, q, _ = model.motion.many(dt)
+    r = np.repeat(np.asarray(model.observation.variances, float)[:, None], k, 1)
+    x0, p0, ll = np.repeat(np.asarray(model.x0, float)[:, None], k, 1), np.repeat(np.asarray(model.p0, float)[:, :, None], k, 2), np.zeros(k)
+    x0[0] = np.where(has[runs.starts], z[runs.starts], x0[0])
+    run_of = np.empty(runs.rows, np.int64)
+    run_of[runs.first] = np.argsort(runs.starts)
+    run_of = run_of[np.repeat(runs.first, np.diff(np.append(runs.first, runs.rows)))]
+    x, p, xp, pp, xs, ps = (np.empty((n, *deep, runs.rows)) for deep in ((), (n,), (), (n,), (), (n,)))
+    more = np.ones(runs.rows, bool)
+    more[runs.starts + runs.lengths - 1] = False
+    here = np.flatnonzero(more)
+    own = run_of[here]
+    f_own, still = f[..., own], dt[own] <= 0
+    for _ in range(rounds):
+        ll = np.zeros(k)
+        now, cov = x0.copy(), p0.copy()
+        for step, (m, rows) in enumerate(runs.steps()):
+            if step and (to := np.flatnonzero(dt[:m] > 0)).size:
+                now[:, to], cov[:, :, to] = times(f[..., to], now[:, to]), even(moved(f[..., to], cov[:, :, to]) + q[..., to])
+            xp[:, rows], pp[:, :, rows] = now[:, :m], cov[:, :, :m]
+            to = slice(0, m) if has[rows].all() else np.flatnonzero(has[rows])
+            seen = rows[to]
+            phi = (cov[:, :, to] * h).sum(1)
+            s, y = (h * phi).sum(0) + r[0, to], z[seen] - (h * now[:, to]).sum(0)
+            now[:, to] += phi * (y / s)
+            cov[:, :, to] -= phi[:, None] * phi[None] / s
+            ll[to] -= 0.5 * (y * y / s + np.log(s) + LN_2PI)
+            x[:, rows], p[:, :, rows] = now[:, :m], cov[:, :, :m]
+        # The gain of each row, towards the row after it.
+        ahead = times(f_own, p[:, :, here])
+        before = np.where(still, np.eye(n)[:, :, None], pp[:, :, here + 1])
+        gain = np.empty((n, n, runs.rows))
+        gain[:, :, here] = (ahead / before).transpose(1, 0, 2) if n == 1 else np.linalg.solve(before.transpose(2, 0, 1), ahead.transpose(2, 0, 1)).transpose(2, 1, 0)
+        ends = runs.starts + runs.lengths - 1
+        xs[:, ends], ps[:, :, ends] = x[:, ends], p[:, :, ends]
+        for step, (m, rows) in enumerate(steps(ends, runs.lengths, -1)):
+            if not step:
+                continue
+            g, after = gain[:, :, rows], rows + 1
+            back = x[:, rows] + (g * (xs[:, after] - xp[:, after])).sum(1)
+            spread = even(p[:, :, rows] + moved(g, ps[:, :, after] - pp[:, :, after]))
+            stays = dt[:m] <= 0
+            xs[:, rows], ps[:, :, rows] = np.where(stays, xs[:, after], back), np.where(stays, ps[:, :, after], spread)
+        late, mean, cov0, cov1 = xs[:, here + 1], xs[:, here], ps[:, :, here], ps[:, :, here + 1]
+        d = late - times(f_own, mean)
+        lag = np.where(still, cov1, np.einsum("ijk,ljk->ilk", cov1, gain[:, :, here]))
+        cross = times(f_own, lag.transpose(1, 0, 2))
+        term = d[:, None] * d[None] + cov1 + moved(f_own, cov0) - cross - cross.transpose(1, 0, 2)
+        sums = lambda a, at: np.bincount(at, a, minlength=k)
+        total = np.array([[sums(term[i, j], own) for j in range(n)] for i in range(n)])
+        q = even(total / np.maximum(runs.lengths - 1, 1))
+        least = q[0, 0] if n == 1 else np.linalg.eigvalsh(q.transpose(2, 0, 1))[:, 0]
+        q += np.maximum(0.0, floor - least) * np.eye(n)[:, :, None]
+        errors = (z - (h * xs).sum(0)) ** 2 + (h * (ps * h).sum(1)).sum(0)
+        count = sums(has.astype(float), run_of)
+        r[0] = np.where(count > 0, np.maximum(floor, sums(np.where(has, errors, 0.0), run_of) / np.maximum(count, 1)), r[0])
+    return q, r, ll
 
 
 def backtest_report(steps: DataFrame, keys=KEYS, order=ORDER) -> DataFrame:

@@ -22,6 +22,12 @@ class Motion:
         """F, Q, control."""
         raise NotImplementedError
 
+    def many(self, dt: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        """The same over many intervals, on the last axis."""
+        own, which = np.unique(dt, return_inverse=True)
+        f, q, u = zip(*(self.at(float(d)) for d in own), strict=True)
+        return np.stack(f, -1)[..., which], np.stack(q, -1)[..., which], None if u[0] is None else np.stack(u, -1)[..., which]
+
 
 def ou(theta: float, sigma: float, dt: float) -> tuple[float, float]:
     """Decay and variance of an Ornstein-Uhlenbeck process; a random walk at theta 0."""
@@ -48,6 +54,10 @@ class ConstantVelocity(Motion):
         q = self.sigma_a**2
         return np.array([[1.0, dt], [0.0, 1.0]]), q * np.array([[dt**3 / 3, dt**2 / 2], [dt**2 / 2, dt]]), None
 
+    def many(self, dt):
+        one, none = np.ones_like(dt), np.zeros_like(dt)
+        return np.array([[one, dt], [none, one]]), self.sigma_a**2 * np.array([[dt**3 / 3, dt**2 / 2], [dt**2 / 2, dt]]), None
+
 
 @dataclass
 class WhiteAcceleration(Motion):
@@ -311,6 +321,14 @@ class VenueMotion(Motion):
         wide_f[:2, :2], wide_q[:2, :2] = f, q
         return wide_f, wide_q, None
 
+    def many(self, dt):
+        wide_f, wide_q = np.zeros((self.n, self.n, len(dt))), np.zeros((self.n, self.n, len(dt)))
+        wide_f[:2, :2], wide_q[:2, :2], _ = ConstantVelocity(self.sigma_a).many(dt)
+        d = np.exp(-dt / self.tau)
+        for j in range(2, self.n):
+            wide_f[j, j], wide_q[j, j] = d, self.sigma**2 * (1 - d * d)
+        return wide_f, wide_q, None
+
 
 def multi_venue(sigma_a: float, tau: float, sigma: float, variances: list[float], first: float = 0.0, velocity_std: float = 1.0) -> Model:
     """One price seen at venues whose offsets from the first one decay."""
