@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from tideline.operators import calibration
-from tideline.operators.side_by_side import Runs
+from tideline.operators.side_by_side import Runs, frame_sums
 
 VELOCITY = {"motion": {"type": "constant-velocity", "sigma_a": 0.1}, "rows": [{"0": 1.0}], "variances": [4.0], "p0_diag": [4.0, 1.0]}
 WALK = {"motion": {"type": "random-walk", "sigma": 0.5}, "rows": [{"0": 1.0}], "variances": [4.0], "p0_diag": [4.0]}
@@ -43,3 +43,19 @@ def test_expectation_maximisation_takes_gaps_and_short_series(spark):
     q, r, ll = calibration.expectation_maximisation(WALK | {"x0": [50.0]}, [t for _, t, _, _ in rows[:12]], values, 5)
     assert got["a"]["q"] == pytest.approx(q.ravel().tolist()) and got["a"]["r"] == pytest.approx(r) and got["a"]["ll"] == pytest.approx(ll)
     assert got["b"]["q"] is None and got["b"]["r"] is None and got["b"]["ll"] is None
+
+
+def test_frame_sums_go_by_blocks_of_the_partition():
+    x = np.random.default_rng(5).normal(0, 1e6, 300).round(2)
+    got = frame_sums(x, 7, 40)
+    for i in (0, 1, 9, 100, 260):
+        a, total, at = i + 7, 0.0, i
+        while at < i + 40:
+            if (at + 7) % 16 == 0 and at + 16 <= i + 40:
+                block = 0.0
+                for v in x[at : at + 16]:
+                    block += v
+                total, at = total + block, at + 16
+            else:
+                total, at = total + x[at], at + 1
+        assert got[i] == total, a

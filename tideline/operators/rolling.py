@@ -11,6 +11,7 @@ from math import log, sqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.operators.side_by_side import blockwise_sums
 from tideline.plans.frames import KEYS, ORDER, full, last, ln, moments, ordered, positive, ratio, rolling_mean, running
 
 BAR_ORDER = ("open_ns",)
@@ -239,11 +240,13 @@ def price_impact(df: DataFrame, window: int = 500) -> DataFrame:
     w = ordered()
     df = df.withColumns({"__q": C("size") * C("sign"), "__c": C("price") - F.lag("price").over(w)})
     df = df.withColumns({"__qc": C("__q") * C("__c"), "__qq": F.when(C("__c").isNotNull(), C("__q") * C("__q"))})
-    first = F.row_number().over(w) == 1
-    df = df.withColumn("__first", first)
+    df = df.withColumn("__first", F.row_number().over(w) == 1)
+    df = blockwise_sums(df, "__qc", window, "__x")
     rest = df.filter(~C("__first"))
-    rest = moments(moments(rest, "__qc", window, "__x"), "__qq", window, "__y")
-    rest = rest.withColumn("lambda", ratio(C("__x_mean"), C("__y_mean")))
+    # Sums of each frame by itself: lambda may be small against its terms, so differences of running sums tell too little of 1 / lambda.
+    own = last(window)
+    rest = rest.withColumns({"__x": full(C("__qc"), C("__x"), window, own), "__y": F.sum("__qq").over(own)})
+    rest = rest.withColumn("lambda", ratio(C("__x"), C("__y")))
     worth = F.abs("__q") * C("price")
     rest = rest.withColumn("__a", F.when((worth > 0) & (C("price") > 0), F.abs(C("__c") / F.when(C("price") > 0, C("price"))) / F.when(worth > 0, worth)))
     rest = rest.withColumn("__i", F.count("__a").over(running()))
