@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.operators.side_by_side import blockwise_sums
-from tideline.plans.frames import KEYS, ORDER, full, last, ln, moments, ordered, positive, ratio, rolling_mean, running
+from tideline.plans.frames import KEYS, ORDER, full, last, ln, log_of, moments, ordered, positive, ratio, rolling_mean, running
 
 BAR_ORDER = ("open_ns",)
 C = F.col
@@ -179,25 +179,27 @@ EFFICIENCY = {"close_to_close": 1.0, "parkinson": 5.2, "garman_klass": 7.4, "rog
 
 
 def ohlc_volatility(bars: DataFrame, period: int = 20, estimator: str = "yang_zhang", per_year: float | None = None) -> DataFrame:
-    """sigma of bars by one of EFFICIENCY's estimators, and per year if the bars per year are given."""
+    """sigma of bars by one of EFFICIENCY's estimators, and per year if the bars per year are given. A price of nil leaves it without bounds: NaN."""
     w, n = last(period, order=BAR_ORDER), period
-    o, h, low, c = (ln(C(x)) for x in ("open", "high", "low", "close"))
+    known = C("open").isNotNull() & C("high").isNotNull() & C("low").isNotNull() & C("close").isNotNull()
+    per = lambda a, b: F.when(known & (C(a) >= 0) & (C(b) >= 0), log_of(C(a), C(b)))
     before = F.lag("close").over(ordered(order=BAR_ORDER))
-    terms = {"parkinson": (h - low) * (h - low) / (4 * log(2)), "garman_klass": 0.5 * (h - low) * (h - low) - (2 * log(2) - 1) * (c - o) * (c - o), "rogers_satchell": (h - c) * (h - o) + (low - c) * (low - o)}
+    wide, gone = per("high", "low"), per("close", "open")
+    terms = {"parkinson": wide * wide / (4 * log(2)), "garman_klass": 0.5 * wide * wide - (2 * log(2) - 1) * gone * gone, "rogers_satchell": per("high", "close") * per("high", "open") + per("low", "close") * per("low", "open")}
     if estimator in terms:
         bars = bars.withColumn("__t", terms[estimator])
         var = full(C("__t"), F.avg("__t").over(w), n, w)
     elif estimator == "close_to_close":
-        bars = bars.withColumn("__t", c - ln(before))
+        bars = bars.withColumn("__t", F.when((before >= 0) & (C("close") >= 0), log_of(C("close"), before)))
         var = full(C("__t"), F.var_samp("__t").over(w), n, w)
     elif estimator == "yang_zhang":
         k = 0.34 / (1.34 + (n + 1) / (n - 1))
-        bars = bars.withColumns({"__t": F.when(before.isNull(), 0.0).otherwise(o - ln(before)), "__c": c - o, "__r": terms["rogers_satchell"]})
-        var = full(C("__t"), F.var_samp("__t").over(w) + k * F.var_samp("__c").over(w) + (1 - k) * F.avg("__r").over(w), n, w)
+        bars = bars.withColumns({"__t": F.when(before.isNull(), 0.0).when((before >= 0) & (C("open") >= 0), log_of(C("open"), before)), "__c": gone, "__r": terms["rogers_satchell"]})
+        parts = F.when(C("__t").isNotNull() & C("__c").isNotNull(), C("__r"))
+        var = full(parts, F.var_samp("__t").over(w) + k * F.var_samp("__c").over(w) + (1 - k) * F.avg("__r").over(w), n, w)
     else:
         raise ValueError(f"no estimator {estimator}")
-    bars = bars.withColumn("sigma", F.sqrt(F.greatest(var, F.lit(0.0))))
-    bars = bars.withColumn("sigma", F.when(var.isNotNull(), C("sigma"))).drop("__t", "__c", "__r")
+    bars = bars.withColumn("sigma", F.sqrt(F.greatest(var, F.lit(0.0)) + 0 * var)).drop("__t", "__c", "__r")
     return bars if per_year is None else bars.withColumn("annualised", C("sigma") * sqrt(per_year))
 
 

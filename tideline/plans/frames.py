@@ -44,6 +44,13 @@ def ln(x: Column) -> Column:
     return F.when(x > 0, F.log(F.when(x > 0, x)))
 
 
+def log_of(a: Column, b: Column) -> Column:
+    """ln(a / b) of prices that are not below zero, by the rules of IEEE: a price of nil gives an infinity, two give NaN."""
+    some = (a > 0) & (b > 0)
+    value = F.when(some, F.log(F.when(some, a) / F.when(some, b))).when(a > 0, float("inf")).when(b > 0, float("-inf"))
+    return F.when(a.isNotNull() & b.isNotNull(), F.coalesce(value, F.lit(float("nan"))))
+
+
 def moments(df: DataFrame, x: str, n: int, prefix: str, keys=KEYS, order=ORDER, partial: bool = False) -> DataFrame:
     """df with {prefix}_mean, {prefix}_var (population) and {prefix}_n over the last n readings; NULL until full, unless partial.
 
