@@ -80,12 +80,12 @@ def cci(bars: DataFrame, period: int = 20, constant: float = 0.015) -> DataFrame
 
 
 def block_momentum(df: DataFrame, step: int = 60, count: int = 8) -> DataFrame:
-    """Mean over sample deviation of the log returns of ``count`` blocks that end here."""
+    """Mean over sample deviation of the log returns of ``count`` blocks that end here. A price of nil has an infinite return."""
     w = ordered()
     prices = [C("price")] + [F.lag("price", step * k).over(w) for k in range(1, count + 1)]
     df = df.withColumn("__p", F.array(*prices))
-    ok = F.forall("__p", lambda p: p.isNotNull() & (p > 0))
-    returns = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda k: F.log(F.get("__p", k) / F.get("__p", k + 1)))
+    ok = F.forall("__p", lambda p: p.isNotNull() & (p >= 0))
+    returns = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda k: log_of(F.get("__p", k), F.get("__p", k + 1)))
     df = df.withColumn("__r", F.when(ok, returns))
     mean = F.aggregate("__r", F.lit(0.0), lambda a, x: a + x) / count
     df = df.withColumn("block_mean", mean)
