@@ -204,8 +204,10 @@ def ohlc_volatility(bars: DataFrame, period: int = 20, estimator: str = "yang_zh
 
 
 def realized_volatility(df: DataFrame, window: int = 60) -> DataFrame:
-    """Root mean square of log returns."""
-    df = price_delta(df).drop("simple_return").withColumn("__s", C("log_return") * C("log_return"))
+    """Root mean square of log returns. A price of nil has an infinite return."""
+    before = F.lag("price").over(ordered())
+    r = F.when((C("price") >= 0) & (before >= 0), log_of(C("price"), before))
+    df = df.withColumn("log_return", r).withColumn("__s", C("log_return") * C("log_return"))
     w = last(window)
     return df.withColumn("realized", F.sqrt(full(C("__s"), F.avg("__s").over(w), window, w))).drop("__s")
 
