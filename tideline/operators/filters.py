@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from tideline.operators.linalg import chi2_quantile, cholesky_semidefinite, dare, is_positive_definite, symmetric
 from tideline.operators.models import Model, Motion, Nonlinear, Observation, build
+from tideline.operators.side_by_side import Filters, Readings, Runs, buffers, handed_out, lists
 from tideline.plans.frames import KEYS, ORDER
 
 LN_2PI = math.log(2 * math.pi)
@@ -511,7 +512,7 @@ def run_filter(ticks: DataFrame, model: dict | Callable, options: dict | None =
 
     ticks: keys, ts_ns, values (map of channel to reading; empty or NULL: predict only) and, if there are any, rows and variances
     by channel. ``start(filter, values)`` may set a new filter up from the first tick. One pass over sorted rows: memory stays that of
-    a batch and one filter."""
+    a buffer and its filters. The ``sequential`` form takes the series of a buffer side by side."""
     own = [c for c in ("rows", "variances") if c in ticks.columns]
     names = list(dict.fromkeys([*keys, *order]))
     schema = T.StructType([ticks.schema[c] for c in names] + STEP_FIELDS)
@@ -538,4 +539,33 @@ def run_filter(ticks: DataFrame, model: dict | Callable, options: dict | None =
             made = list(zip(*out, strict=True)) or [() for _ in types]
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in names] + [pa.array(list(m), t) for m, t in zip(made, types, strict=True)], names=[f.name for f in schema])
 
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, clock, state, ll = None, 0, [], 0.0
+        for columns in buffers(batches):
+            runs, ts, seen = Runs(columns, keys, held), columns["ts_ns"].to_numpy(), Readings(columns["values"])
+            many, first = Filters(built, len(runs), gate), ts[runs.starts].copy()
+            for k, row in enumerate(runs.starts if start is not None else ()):
+                kalman = make_filter(model, options)
+                start(kalman, seen.of(row))
+                many.x[:, k], many.p[:, :, k] = kalman.x, kalman.p
+            if runs.goes_on is not None:
+                first[runs.goes_on], many.ll[runs.goes_on] = clock, ll
+                for a, v in zip(many.arrays(), state, strict=True):
+                    a[..., runs.goes_on] = v
+            dt, n, told = (ts - runs.before(ts, first)) / 1e9, many.n, np.zeros((3, len(seen.z)))
+            x, p, prior_x, prior_p, lls = np.empty((runs.rows, n)), np.empty((runs.rows, n * n)), np.empty((runs.rows, n)), np.empty((runs.rows, n * n)), np.empty(runs.rows)
+            for k, rows in runs.steps():
+                many.predict(dt[rows])
+                prior_x[rows], prior_p[rows] = many.x[:, :k].T, many.p[:, :, :k].reshape(n * n, k).T
+                for to, which in seen.at(rows):
+                    told[:, which] = many.correct(to, seen.channel[which], seen.z[which])
+                x[rows], p[rows], lls[rows] = many.x[:, :k].T, many.p[:, :, :k].reshape(n * n, k).T, many.ll[:k]
+            held, clock, state, ll = runs.held, ts[-1], [a[..., runs.last].copy() for a in many.arrays()], many.ll[runs.last]
+            outcomes = pa.StructArray.from_arrays([pa.array(seen.channel, pa.int32()), *map(pa.array, told)], names=["channel", "y", "s", "w"])
+            made = [pa.array(dt), lists(x), lists(p), pa.array(lls), pa.ListArray.from_arrays(pa.array(seen.offsets, pa.int32()), outcomes), lists(prior_x), lists(prior_p)]
+            yield from handed_out({c: columns[c] for c in names} | {f.name: a for f, a in zip(STEP_FIELDS, made, strict=True)})
+
+    built, gate = model() if callable(model) else build(model), Gate.of((options or {}).get("gate"))
+    if not own and ((options or {}).get("form") or built.form) == "sequential":
+        run = together
     return ticks.select(*dict.fromkeys([*names, "ts_ns", "values", *own])).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)

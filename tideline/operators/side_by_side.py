@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from tideline.operators.models import Model, Motion
 from tideline.plans.frames import KEYS, ORDER
 
+LN_2PI = float(np.log(2 * np.pi))
 #: Rows that are held at once.
 BUFFER = 100_000
 
@@ -238,4 +239,121 @@ class Filters:
         return y, s, w
 
 
-LN_2PI = float(np.log(2 * np.pi))
+
+    def arrays(self) -> list[np.ndarray]:
+        return [self.x, self.p]
+
+
+class ManyModels:
+    """``InteractingModels`` for many series: regimes of one state, all starting at the first price; mu (regimes, k)."""
+
+    def __init__(self, regimes: list[Model], transition, first: np.ndarray, floor: float = 1e-9):
+        self.filters, self.pi, self.floor = [Filters(m, len(first)) for m in regimes], np.asarray(transition, float), floor
+        for f in self.filters:
+            f.x[0] = first
+        self.mu, self.mixes = np.full((len(regimes), len(first)), 1 / len(regimes)), np.zeros(len(first), bool)
+
+    def arrays(self) -> list[np.ndarray]:
+        return [a for f in self.filters for a in f.arrays()] + [self.mu, self.mixes]
+
+    def step(self, dt: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, ...]:
+        k, none = len(z), np.zeros(len(z), np.int64)
+        mu, on = self.mu[:, :k], self.mixes[:k]
+        ahead = (self.pi.T[:, :, None] * mu[None]).sum(1)
+        means, covariances = [f.x[:, :k].copy() for f in self.filters], [f.p[:, :, :k].copy() for f in self.filters]
+        told = np.zeros_like(mu)
+        for j, f in enumerate(self.filters):
+            w = np.where(ahead[j] > 0, self.pi[:, j][:, None] * mu / np.where(ahead[j] > 0, ahead[j], 1.0), 0.0)
+            x = sum(a * m for a, m in zip(w, means, strict=True))
+            p = sum(a * (c + (m - x)[:, None] * (m - x)[None]) for a, m, c in zip(w, means, covariances, strict=True))
+            f.x[:, :k], f.p[:, :, :k] = np.where(on, x, means[j]), np.where(on, even(p), covariances[j])
+            f.ll[:k] = 0.0
+            f.predict(dt)
+            f.correct(slice(0, k), none, z)
+            told[j] = f.ll[:k]
+        mu = np.exp(told - told.max(0)) * ahead
+        mu = np.maximum(self.floor, mu / mu.sum(0))
+        self.mu[:, :k], self.mixes[:k] = mu / mu.sum(0), True
+        mu = self.mu[:, :k]
+        return sum(m * f.x[0, :k] for m, f in zip(mu, self.filters, strict=True)), mu[1].copy(), mu.argmax(0).astype(float)
+
+
+class UnscentedFilters(Filters):
+    """``UnscentedKalmanFilter`` of a linear model for many series, starting at the first price."""
+
+    def __init__(self, model: Model, first: np.ndarray, alpha: float = 1e-3, beta: float = 2.0, kappa: float = 0.0):
+        super().__init__(model, len(first))
+        self.x[0] = first
+        n = self.n
+        self.spread = alpha * alpha * (n + kappa)
+        self.wm = np.full((2 * n + 1, 1), 0.5 / self.spread)
+        self.wc = self.wm.copy()
+        self.wm[0] = (self.spread - n) / self.spread
+        self.wc[0] = self.wm[0] + 1 - alpha * alpha + beta
+
+    def points(self, to) -> np.ndarray:
+        """(points, n, k)"""
+        x, p, n = self.x[:, to], self.spread * self.p[:, :, to], self.n
+        low = np.zeros_like(p)
+        scale = np.maximum(1e-300, np.abs(np.einsum("iik->ik", p)).max(0))
+        for j in range(n):
+            d = p[j, j] - (low[j, :j] ** 2).sum(0)
+            on = d > 1e-14 * scale
+            low[j, j] = np.sqrt(np.where(on, d, 0.0))
+            low[j + 1 :, j] = np.where(on, (p[j + 1 :, j] - (low[j + 1 :, :j] * low[j, :j]).sum(1)) / np.where(on, low[j, j], 1.0), 0.0)
+        return np.concatenate([x[None], x + low.transpose(1, 0, 2), x - low.transpose(1, 0, 2)])
+
+    def predict(self, dt: np.ndarray) -> None:
+        if (dt < 0).any():
+            raise ValueError("a reading is older than the last one")
+        to = slice(0, len(dt)) if (dt > 0).all() else np.flatnonzero(dt > 0)
+        if len(dt := dt[to]):
+            f, q, u = self.motion.many(dt)
+            ahead = np.array([times(f, x) for x in self.points(to)])
+            ahead = ahead if u is None else ahead + u
+            # Means are taken around the central point, whose weight is large and negative.
+            self.x[:, to] = ahead[0] + (self.wm[1:, None] * (ahead[1:] - ahead[0])).sum(0)
+            off = ahead - self.x[:, to]
+            self.p[:, :, to] = even(((self.wc[:, None] * off)[:, :, None] * off[:, None]).sum(0) + q)
+
+    def step(self, dt: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, ...]:
+        to = slice(0, len(z))
+        self.predict(dt)
+        h, r = self.seen(np.zeros(1, np.int64))
+        points = self.points(to)
+        seen = (points * h).sum(1)
+        mean = seen[0] + (self.wm[1:] * (seen[1:] - seen[0])).sum(0)
+        off = seen - mean
+        phi, s = ((self.wc * off)[:, None] * (points - self.x[:, to])).sum(0), (self.wc * off * off).sum(0) + r
+        self.x[:, to] += phi * ((z - mean) / s)
+        self.p[:, :, to] = even(self.p[:, :, to] - phi[:, None] * phi[None] / s)
+        return self.x[0, to].copy(), self.x[1, to] * 100, np.sqrt(self.p[0, 0, to])
+
+
+def scan_prices(df: DataFrame, make, outputs: tuple[str, ...], keys=KEYS, order=ORDER) -> DataFrame:
+    """df (ts_ns, price) with the outputs of a filter: make(first prices) gives step(seconds passed, prices) for many series. As in
+    ``scan``, a row without a price has undefined outputs and changes nothing."""
+    schema = T.StructType([*df.schema.fields, *[T.StructField(o, T.DoubleType()) for o in outputs]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, clock, state = None, 0, []
+        for columns in buffers(batches):
+            price = doubles(columns["price"])
+            has = np.flatnonzero(~np.isnan(price))
+            made = np.full((len(outputs), len(price)), np.nan)
+            if len(has):
+                runs = Runs({k: columns[k].take(pa.array(has)) for k in keys}, keys, held)
+                z, ts = price[has], columns["ts_ns"].to_numpy()[has]
+                many, first = make(z[runs.starts]), ts[runs.starts].copy()
+                if runs.goes_on is not None:
+                    first[runs.goes_on] = clock
+                    for a, own in zip(many.arrays(), state, strict=True):
+                        a[..., runs.goes_on] = own
+                dt = (ts - runs.before(ts, first)) / 1e9
+                for _, rows in runs.steps():
+                    for k, o in enumerate(many.step(dt[rows], z[rows])):
+                        made[k, has[rows]] = o
+                held, clock, state = runs.held, ts[-1], [a[..., runs.last].copy() for a in many.arrays()]
+            yield from handed_out(columns | {o: pa.array(m, from_pandas=True) for o, m in zip(outputs, made, strict=True)})
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)

@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 from tideline.operators.filters import KalmanFilter, make_filter
 from tideline.operators.linalg import symmetric
+from tideline.operators.models import Motion
+from tideline.operators.side_by_side import Runs, buffers, doubles, handed_out
 from tideline.plans.frames import KEYS
 
 
@@ -88,19 +90,42 @@ def smooth_lagged(steps: DataFrame, model: dict | Callable, lag: int, keys=KEYS,
     schema = T.StructType([*steps.schema.fields, T.StructField("xs", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        motion = make_filter(model).motion
-        held, window = None, deque(maxlen=lag + 1)
-        for batch in batches:  # rows come newest first: the window holds a step and those after it
-            column = lambda c, b=batch: b.column(b.schema.get_field_index(c)).to_pylist()
-            key = list(zip(*map(column, keys), strict=True))
-            parts = {c: column(c) for c in ("dt", "x", "p", "x_prior", "p_prior")}
-            xs = []
-            for i, k in enumerate(key):
-                if k != held:
-                    held = k
-                    window.clear()
-                window.appendleft(_arrays({c: v[i] for c, v in parts.items()}, len(parts["x"][i])))
-                xs.append(rauch_tung_striebel(list(window), lambda dt: motion.at(dt)[0])[0][0].tolist() if len(window) > lag else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(xs, pa.list_(pa.float64()))], names=[f.name for f in schema])
-
-    return steps.repartition(*keys).sortWithinPartitions(*keys, *[F.col(c).desc() for c in order]).mapInArrow(run, schema)
+        motion, rest = make_filter(model).motion, None
+        for columns in buffers(batches):
+            if rest is not None:
+                columns = {c: pa.concat_arrays([rest[c], a]) for c, a in columns.items()}
+            made = columns | {"xs": lagged_states(columns, keys, motion, lag)}
+            runs = Runs(columns, keys)
+            cut = max(runs.rows - lag, int(runs.first[-1]))  # what stays: the end of a series that may go on
+            yield from handed_out({c: a.slice(0, cut) for c, a in made.items()})
+            rest = {c: a.slice(cut) for c, a in columns.items()}
+        if rest is not None and len(rest["x"]):
+            yield from handed_out(rest | {"xs": lagged_states(rest, keys, motion, lag)})
+
+    return steps.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+def lagged_states(columns: dict[str, pa.Array], keys, motion: Motion, lag: int) -> pa.Array:
+    """The smoothed state of every row whose ``lag`` later rows are there; all rows go back a step at once."""
+    runs, rows = Runs(columns, keys), len(columns["x"])
+    flat = lambda c: columns[c].flatten().to_numpy().reshape(rows, -1)
+    x, n = flat("x"), flat("x").shape[1]
+    dt, prior = doubles(columns["dt"]), flat("x_prior")
+    ends = np.repeat(np.append(runs.first[1:], rows), np.diff(np.append(runs.first, rows)))
+    on = np.flatnonzero((np.arange(rows) + 1 < ends) & (np.append(dt[1:], 0.0) > 0))
+    gain = np.zeros((rows, n, n))
+    if len(on):
+        f = motion.many(dt[on + 1])[0].transpose(2, 0, 1)
+        gain[on] = np.linalg.solve(flat("p_prior").reshape(rows, n, n)[on + 1], f @ flat("p").reshape(rows, n, n)[on]).transpose(0, 2, 1)
+    moves = np.zeros(rows, bool)
+    moves[on] = True
+    told = np.flatnonzero(np.arange(rows) + lag < ends)
+    now = x[told + lag]
+    for j in range(lag - 1, -1, -1):
+        r = told + j
+        back = x[r] + (gain[r] * (now - prior[np.minimum(r + 1, rows - 1)])[:, None]).sum(2)
+        now = np.where(moves[r][:, None], back, now)
+    has = np.zeros(rows, bool)
+    has[told] = True
+    offsets = np.concatenate([[0], np.cumsum(has) * n])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(now.ravel()), mask=pa.array(~has))
