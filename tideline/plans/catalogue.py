@@ -14,6 +14,7 @@ from tideline.functions import book
 from tideline.operators import bars as clocks
 from tideline.operators import calibration, cross, diagnostics, filters, models, recurrent, rolling, smoothing, trend_filters
 from tideline.operators.recurrent import scan
+from tideline.operators.side_by_side import ManyModels, scan_prices
 from tideline.plans import views
 from tideline.plans.frames import ln, ratio
 from tideline.plans.views import BARS, DAILY, LEVELS, TICKS, TRADES, USERS
@@ -420,25 +421,12 @@ add("extended_kalman", lambda s, d: by_key(s, d, _nonlinear(filters.ExtendedKalm
 add("unscented_kalman", lambda s, d: by_key(s, d, _nonlinear(lambda m: filters.UnscentedKalmanFilter(m, alpha=1.0, kappa=1.0)), STATE), STATE_SQL)
 
 
-def _imm():
-    held: list = []
-
-    def step(ts, price):
-        if not held:
-            regimes = []
-            for factor in (0.5, 3.0):
-                k = filters.make_filter(LLT | {"half_spread": HALF * factor})
-                k.x[0] = price
-                regimes.append(k)
-            held.append(filters.InteractingModels(regimes, [[0.95, 0.05], [0.05, 0.95]]))
-        f = held[0]
-        f.step(ts, {0: price})
-        return float(f.x[0]), float(f.mu[1]), float(f.regime)
-
-    return step
+def _imm(first: np.ndarray) -> ManyModels:
+    return ManyModels([models.build(LLT | {"half_spread": HALF * factor}) for factor in (0.5, 3.0)], [[0.95, 0.05], [0.05, 0.95]], first)
 
 
-add("interacting_models", lambda s, d: by_key(s, d, _imm, ("level", "chance", "regime")))
+REGIMES = ("level", "chance", "regime")
+add("interacting_models", lambda s, d: out(scan_prices(views.user_ticks(s, d), _imm, REGIMES), ROW, REGIMES, 5))
 index = 1e-2 * 3600.0**2 / HALF
 r_ = (4 + index - (8 * index + index * index) ** 0.5) / 4
 ALPHA = 1 - r_ * r_
@@ -581,7 +569,7 @@ add(
     sql(BACKTEST, "f", ("symbol",), {"steps": "steps", "readings": "steps", "rejected": "rejected", "mean_nis": "nis", "ll": "ll"}, True),
 )
 LAGGED_RTS = RTS[: RTS.index("sm AS (")] + """sm AS (SELECT symbol, rn AS e, rn, x AS xs, v AS vs FROM kr UNION ALL SELECT g.symbol, sm.e, g.rn, g.x + g00 * (xs - x1) + g01 * (vs - v), g.v + g10 * (xs - x1) + g11 * (vs - v) FROM sm JOIN gn g ON g.symbol = sm.symbol AND g.rn = sm.rn - 1 AND sm.e - g.rn <= 5)"""
-add("fixed_lag_smoother", lambda s, d: out(smoothing.smooth_lagged(llt_steps(s, d), LLT, 5).withColumn("level", F.get("xs", 0)), ROW, ("level",), 4), sql(LAGGED_RTS, "users t LEFT JOIN sm k ON k.symbol = t.symbol AND k.rn = t.rn AND k.e = t.rn + 5", TROW, {"level": "k.xs"}, True, 4))
+add("fixed_lag_smoother", lambda s, d: out(smoothing.smooth_lagged(llt_steps(s, d).drop("ll", "outcomes"), LLT, 5).withColumn("level", F.get("xs", 0)), ROW, ("level",), 4), sql(LAGGED_RTS, "users t LEFT JOIN sm k ON k.symbol = t.symbol AND k.rn = t.rn AND k.e = t.rn + 5", TROW, {"level": "k.xs"}, True, 4))
 HEALTH = ("readings", "accepted", "rejected", "down_weighted", "mean_nis", "autocorrelation_1", "autocorrelation_2", "longest_rejection")
 HEALTH_SQL = kalman_sql("CASE WHEN y * y / s > 4 THEN 0.0 ELSE 1.0 END") + ", iv AS (SELECT *, y * y / s AS nis, y / sqrt(s) AS z, avg(y / sqrt(s)) OVER (PARTITION BY symbol) AS mz FROM kr), lg AS (SELECT *, lag(z, 1) OVER (PARTITION BY symbol ORDER BY rn) - mz AS z1, lag(z, 2) OVER (PARTITION BY symbol ORDER BY rn) - mz AS z2, sum(CASE WHEN w > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY rn) AS grp FROM iv), runs AS (SELECT symbol, max(n) AS n FROM (SELECT symbol, grp, count(*) AS n FROM lg WHERE w = 0 GROUP BY 1, 2) GROUP BY 1), f AS (SELECT symbol, count(*) AS readings, sum((w > 0)::INT) AS accepted, sum((w = 0)::INT) AS rejected, sum((w > 0 AND w < 1)::INT) AS down_weighted, avg(nis) AS mean_nis, sum((z - mz) * z1) / sum((z - mz) * (z - mz)) AS a1, sum((z - mz) * z2) / sum((z - mz) * (z - mz)) AS a2 FROM lg GROUP BY 1)"
 add(
