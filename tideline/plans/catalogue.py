@@ -14,7 +14,7 @@ from tideline.functions import book
 from tideline.operators import bars as clocks
 from tideline.operators import calibration, cross, diagnostics, filters, models, recurrent, rolling, smoothing, trend_filters
 from tideline.operators.recurrent import scan
-from tideline.operators.side_by_side import ManyModels, scan_prices
+from tideline.operators.side_by_side import ManyModels, UnscentedFilters, scan_prices
 from tideline.plans import views
 from tideline.plans.frames import ln, ratio
 from tideline.plans.views import BARS, DAILY, LEVELS, TICKS, TRADES, USERS
@@ -418,7 +418,7 @@ STATE = ("level", "rate", "level_std")
 STATE_SQL = sql(kalman_sql("1.0::DOUBLE"), KJ, TROW, {"level": "k.x", "rate": "k.v * 100", "level_std": "sqrt(k.p00)"}, True, 5)
 add("information_filter", lambda s, d: by_key(s, d, _information, STATE), STATE_SQL)
 add("extended_kalman", lambda s, d: by_key(s, d, _nonlinear(filters.ExtendedKalmanFilter), STATE), STATE_SQL)
-add("unscented_kalman", lambda s, d: by_key(s, d, _nonlinear(lambda m: filters.UnscentedKalmanFilter(m, alpha=1.0, kappa=1.0)), STATE), STATE_SQL)
+add("unscented_kalman", lambda s, d: out(scan_prices(views.user_ticks(s, d), lambda z: UnscentedFilters(models.build(LLT), z, alpha=1.0, kappa=1.0), STATE), ROW, STATE, 5), STATE_SQL)
 
 
 def _imm(first: np.ndarray) -> ManyModels:
