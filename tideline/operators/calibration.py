@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from tideline.operators.filters import LN_2PI, make_filter
 from tideline.operators.linalg import nees, symmetric
 from tideline.operators.models import build
-from tideline.operators.side_by_side import BUFFER, Runs, buffers, doubles, even, handed_out, lists, moved, steps, times
+from tideline.operators.side_by_side import BUFFER, Filters, Readings, Runs, buffers, doubles, even, handed_out, lists, moved, steps, times
 from tideline.operators.smoothing import rauch_tung_striebel
 from tideline.plans.frames import KEYS, ORDER
 
@@ -125,44 +125,42 @@ def spread_starts(theta: np.ndarray, n: int, width: float = 1.0, seed: int = 0)
 
 
 def log_likelihoods(ticks: DataFrame, config: dict, parameters: Parameters, thetas: list[np.ndarray], keys=KEYS, order=ORDER, first_value: bool = True) -> list[float]:
-    """The likelihood of every candidate over all series: one job, a task for each series; each row is read once for all candidates.
+    """The likelihood of every candidate over all series: one job; each row is read once for all candidates, and the series of a buffer go side by side.
 
     No gates. A candidate that breaks a filter counts as minus infinity. Only one number per candidate reaches the driver."""
     configs = [parameters.apply(config, t) for t in thetas]
 
     def run(batches):
-        held, filters, sums, dead = None, [], [0.0] * len(configs), [False] * len(configs)
-
-        def close():
-            for k, f in enumerate(filters):
-                if f is not None:
-                    sums[k] += f.ll
-
-        for pdf in batches:
-            for key, ts, values in zip(pdf[list(keys)].itertuples(index=False, name=None), pdf["ts_ns"], pdf["values"], strict=True):
-                now = {int(a): float(b) for a, b in (values or {}).items()} if isinstance(values, dict) else {int(a): float(b) for a, b in (values if values is not None else [])}
-                if key != held:
-                    close()
-                    held, filters = key, []
-                    for k, c in enumerate(configs):
-                        try:
-                            f = None if dead[k] else make_filter(c)
-                            if f is not None and first_value and 0 in now:
-                                f.x[0] = now[0]
-                            filters.append(f)
-                        except (ValueError, ArithmeticError, np.linalg.LinAlgError):
-                            dead[k] = True
-                            filters.append(None)
-                for k, f in enumerate(filters):
-                    if f is not None:
-                        try:
-                            f.step(int(ts), now)
-                        except (ValueError, ArithmeticError, np.linalg.LinAlgError):
-                            dead[k], filters[k] = True, None
-        close()
-        yield pd.DataFrame({"k": range(len(configs)), "ll": [-math.inf if d else s for s, d in zip(sums, dead, strict=True)]})
-
-    parts = ticks.select(*dict.fromkeys([*keys, *order, "ts_ns", "values"])).repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, "k long, ll double")
+        sums, dead, held, clock, state = [0.0] * len(configs), [False] * len(configs), None, 0, {}
+        for columns in buffers(batches):
+            runs, ts, seen = Runs(columns, keys, held), columns["ts_ns"].to_numpy(), Readings(columns["values"])
+            first = ts[runs.starts].copy()
+            if runs.goes_on is not None:
+                first[runs.goes_on] = clock
+            dt = (ts - runs.before(ts, first)) / 1e9
+            starts = [seen.of(row).get(0) for row in runs.starts] if first_value else []
+            for c, own in enumerate(configs):
+                if dead[c]:
+                    continue
+                try:
+                    many = Filters(build(own), len(runs))
+                    for k, z in enumerate(starts):
+                        many.x[0, k] = many.x[0, k] if z is None else z
+                    if runs.goes_on is not None:
+                        for a, v in zip(many.arrays(), state[c], strict=True):
+                            a[..., runs.goes_on] = v
+                    for _, rows in runs.steps():
+                        many.predict(dt[rows])
+                        for to, which in seen.at(rows):
+                            many.correct(to, seen.channel[which], seen.z[which])
+                    sums[c] += float(many.ll.sum())
+                    state[c] = [a[..., runs.last].copy() for a in many.arrays()]
+                except (ValueError, ArithmeticError, np.linalg.LinAlgError):
+                    dead[c] = True
+            held, clock = runs.held, ts[-1]
+        yield pa.RecordBatch.from_pydict({"k": pa.array(range(len(configs)), pa.int64()), "ll": pa.array([-math.inf if d else s for s, d in zip(sums, dead, strict=True)], pa.float64())})
+
+    parts = ticks.select(*dict.fromkeys([*keys, *order, "ts_ns", "values"])).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, "k long, ll double")
     found = {r["k"]: r["ll"] for r in parts.groupBy("k").agg(F.sum("ll").alias("ll")).collect()}
     return [found.get(k, 0.0) for k in range(len(configs))]
 
