@@ -166,3 +166,20 @@ def test_likelihood_of_a_candidate_that_breaks(spark):
             f.step(int(ts[i]), {0: float(z[i])})
         want += f.ll
     assert got == [pytest.approx(want), -np.inf]
+
+
+def test_a_long_series_in_pieces(spark):
+    """Pieces in different tasks, segments and buffers, times that tie, against one filter."""
+    random = np.random.default_rng(9)
+    ts = np.sort(random.integers(0, 900, 1500)) * 1_000_000_000
+    rows = [("ab"[i % 2], int(t), i, {int(c): float(v)} if i % 9 else {}) for i, (t, c, v) in enumerate(zip(ts, random.integers(0, 3, 1500), 50 + random.normal(0, 5, 1500).cumsum() / 5, strict=True))]
+    df = spark.createDataFrame(rows, "symbol string, ts_ns long, seq long, values map<int,double>")
+    config = {"type": "multi-venue", "sigma_a": 1e-2, "tau": 50.0, "sigma": 5.0, "variances": [4.0] * 3, "first": 50.0, "velocity_std": 1e-1}
+    got = {r["seq"]: r for r in side_by_side.filter_long(df, models.build(config), rows=200).collect()}
+    assert len(got) == 1500
+    for symbol in "ab":
+        f = filters.make_filter(config)
+        for s, t, i, v in rows:
+            if s == symbol:
+                f.step(t, v)
+                assert got[i]["x"] == pytest.approx(f.x.tolist(), rel=1e-7, abs=1e-7) and got[i]["p"] == pytest.approx(f.p.ravel().tolist(), rel=1e-6, abs=1e-8) and got[i]["ll"] == pytest.approx(f.ll, rel=1e-9)

@@ -357,3 +357,170 @@ def scan_prices(df: DataFrame, make, outputs: tuple[str, ...], keys=KEYS, order=
             yield from handed_out(columns | {o: pa.array(m, from_pandas=True) for o, m in zip(outputs, made, strict=True)})
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+#: Rows of a segment: all segments of a buffer go side by side.
+SEGMENT = 512
+
+
+class Segments(Filters):
+    """What stretches of a series do to any state before them, without knowing it (Särkkä and García-Fernández 2021): a state x0 ends at
+    A x0 + b with covariance C, and the readings have the likelihood exp(c + eta' x0 - x0' J x0 / 2)."""
+
+    def __init__(self, model: Model, k: int):
+        super().__init__(model, k)
+        n = self.n
+        self.x[:], self.p[:] = 0.0, 0.0
+        self.a, self.eta, self.j, self.ll = np.repeat(np.eye(n)[:, :, None], k, 2), np.zeros((n, k)), np.zeros((n, n, k)), np.zeros(k)
+
+    def predict(self, dt: np.ndarray) -> None:
+        super().predict(dt)
+        if (to := np.flatnonzero(dt > 0)).size:
+            self.a[:, :, to] = times(self.motion.many(dt[to])[0], self.a[:, :, to])
+
+    def correct(self, to, channel: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        h, _ = self.seen(channel)
+        a, phi = self.a[:, :, to], (self.p[:, :, to] * h).sum(1)
+        y, s, w = super().correct(to, channel, z)
+        own = (a * h[:, None]).sum(0)
+        self.eta[:, to] += own * (y / s)
+        self.j[:, :, to] += own[:, None] * own[None] / s
+        self.a[:, :, to] = a - phi[:, None] * own[None] / s
+        return y, s, w
+
+    def parts(self, k: int) -> tuple:
+        return self.a[:, :, k], self.x[:, k], self.p[:, :, k], self.eta[:, k], self.j[:, :, k], float(self.ll[k])
+
+
+def follow(one: tuple, two: tuple) -> tuple:
+    """Two stretches as one."""
+    (a1, b1, c1, eta1, j1, l1), (a2, b2, c2, eta2, j2, l2) = one, two
+    d, y = np.eye(len(b1)) + c1 @ j2, eta2 - j2 @ b1
+    wide = np.linalg.solve(d, c1)
+    ll = l1 + l2 + eta2 @ b1 - b1 @ j2 @ b1 / 2 - np.linalg.slogdet(d)[1] / 2 + y @ wide @ y / 2
+    j = a1.T @ np.linalg.solve(d.T, j2) @ a1 + j1
+    c = a2 @ wide @ a2.T + c2
+    return a2 @ np.linalg.solve(d, a1), a2 @ np.linalg.solve(d, b1 + c1 @ eta2) + b2, (c + c.T) / 2, a1.T @ np.linalg.solve(d.T, y) + eta1, (j + j.T) / 2, float(ll)
+
+
+def past(state: tuple, stretch: tuple) -> tuple:
+    """The state (x, p, ll so far) after a stretch."""
+    (x, p, ll), (a, b, c, eta, j, l) = state, stretch
+    d, y = np.eye(len(x)) + p @ j, eta - j @ x
+    wide = np.linalg.solve(d, p)
+    q = a @ wide @ a.T + c
+    told = l + eta @ x - x @ j @ x / 2 - np.linalg.slogdet(d)[1] / 2 + y @ wide @ y / 2
+    return a @ np.linalg.solve(d, x + p @ eta) + b, (q + q.T) / 2, float(ll + told)
+
+
+def segments(runs: Runs, most: int = SEGMENT) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
+    """Starts and lengths of the runs' segments, the longest first; and, for each run from the first row on, its segments in order."""
+    stops = np.append(runs.first[1:], runs.rows)
+    cuts = [np.arange(a, b, most) for a, b in zip(runs.first, stops, strict=True)]
+    starts = np.concatenate(cuts)
+    lengths = np.minimum(most, np.repeat(stops, [len(c) for c in cuts]) - starts)
+    by_length = np.argsort(-lengths, kind="stable")
+    place = np.argsort(by_length)
+    at = np.cumsum([0, *map(len, cuts)])
+    return starts[by_length], lengths[by_length], [place[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def through(many: Filters, starts: np.ndarray, lengths: np.ndarray, dt: np.ndarray, seen: Readings, each=None) -> None:
+    for k, rows in steps(starts, lengths):
+        many.predict(dt[rows])
+        for to, which in seen.at(rows):
+            many.correct(to, seen.channel[which], seen.z[which])
+        if each is not None:
+            each(k, rows)
+
+
+def filter_long(ticks: DataFrame, model: Model, keys=KEYS, order=ORDER, rows: int = 50_000, most: int = 1024) -> DataFrame:
+    """keys, order columns, x, p and ll of a filter over series of any length: each is cut by time into pieces that go to different
+    tasks. One pass tells what each piece does to any state, the driver carries the state over them (a few matrices for each of at
+    most about ``most`` pieces of a series), a second pass filters all pieces from where they begin. Exact but for rounding; no gates."""
+    ticks = ticks.select(*dict.fromkeys([*keys, *order, "ts_ns", "values"]))
+    pieces = max(1, min(most, ticks.count() // rows))
+    bounds = np.unique(ticks.approxQuantile("ts_ns", [k / pieces for k in range(1, pieces)], 0.1 / pieces)) if pieces > 1 else np.zeros(0)
+    n = model.motion.n
+    own, numbers = [*keys, "__piece"], T.ArrayType(T.DoubleType())
+
+    def cut(batches):
+        for b in batches:
+            place = np.searchsorted(bounds, b.column(b.schema.get_field_index("ts_ns")).to_numpy().astype(float))
+            yield b.append_column("__piece", pa.array(place, pa.int64()))
+
+    placed = ticks.mapInArrow(cut, T.StructType([*ticks.schema.fields, T.StructField("__piece", T.LongType())]))
+    placed = placed.repartition(*own).sortWithinPartitions(*own, *order)
+
+    def read(batches):
+        """Buffers with their runs, intervals (nil where a piece begins) and readings, and what each segment does."""
+        held, clock = None, 0
+        for columns in buffers(batches):
+            runs, ts, seen = Runs(columns, own, held), columns["ts_ns"].to_numpy(), Readings(columns["values"])
+            first = ts[runs.starts].copy()
+            if runs.goes_on is not None:
+                first[runs.goes_on] = clock
+            dt = (ts - runs.before(ts, first)) / 1e9
+            starts, lengths, order_of = segments(runs)
+            done = Segments(model, len(starts))
+            through(done, starts, lengths, dt, seen)
+            yield columns, runs, ts, dt, seen, starts, lengths, order_of, done
+            held, clock = runs.held, ts[-1]
+
+    def tell(batches):
+        held: dict | None = None
+        schema = pa.schema([(k, t) for k, t in (("key", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("parts", pa.list_(pa.float64())))])
+
+        def told(h):
+            return pa.RecordBatch.from_pylist([{"key": repr(h["key"]), "first": int(h["first"]), "last": int(h["last"]), "parts": np.concatenate([np.ravel(v) for v in h["parts"]]).tolist()}], schema)
+
+        for _, runs, ts, _, _, _, _, order_of, done in read(batches):
+            stops = np.append(runs.first[1:], runs.rows)
+            for k, places in enumerate(order_of):
+                key, parts = runs.key(runs.first[k]), [done.parts(p) for p in places]
+                if held is None or held["key"] != key:
+                    if held is not None:
+                        yield told(held)
+                    held = {"key": key, "first": ts[runs.first[k]], "parts": parts.pop(0)}
+                for p in parts:
+                    held["parts"] = follow(held["parts"], p)
+                held["last"] = ts[stops[k] - 1]
+        if held is not None:
+            yield told(held)
+
+    found = placed.mapInArrow(tell, "key string, first long, last long, parts array<double>").collect()
+    begins: dict[str, tuple] = {}
+    series, state, clock = None, None, 0
+    for r in sorted(found, key=lambda r: (r["key"][: r["key"].rindex(",")], r["first"])):
+        flat, name = np.array(r["parts"]), r["key"][: r["key"].rindex(",")]
+        if name != series:
+            series, state = name, (np.asarray(model.x0, float), (model.p0 + model.p0.T) / 2, 0.0)
+        elif (dt := (r["first"] - clock) / 1e9) > 0:
+            f, q, u = model.motion.at(dt)
+            x, p, ll = state
+            state = (f @ x if u is None else f @ x + u, f @ p @ f.T + q, ll)
+        begins[r["key"]], clock = state, r["last"]
+        m = n * n
+        state = past(state, (flat[:m].reshape(n, n), flat[m : m + n], flat[m + n : 2 * m + n].reshape(n, n), flat[2 * m + n : 2 * m + 2 * n], flat[2 * m + 2 * n : 3 * m + 2 * n].reshape(n, n), flat[-1]))
+    shared = ticks.sparkSession.sparkContext.broadcast(begins)
+    names = list(dict.fromkeys([*keys, *order]))
+
+    def run(batches):
+        state = None
+        for columns, runs, _, dt, seen, starts, lengths, order_of, done in read(batches):
+            many, going = Filters(model, len(starts)), runs.goes_on is not None
+            for k, places in enumerate(order_of):
+                if k or not going:
+                    state = shared.value[repr(runs.key(runs.first[k]))]
+                for p in places:
+                    many.x[:, p], many.p[:, :, p], many.ll[p] = state
+                    state = past(state, done.parts(p))
+            x, p, ll = np.empty((runs.rows, n)), np.empty((runs.rows, n * n)), np.empty(runs.rows)
+
+            def keep(k, rows, many=many, x=x, p=p, ll=ll):
+                x[rows], p[rows], ll[rows] = many.x[:, :k].T, many.p[:, :, :k].reshape(n * n, k).T, many.ll[:k]
+
+            through(many, starts, lengths, dt, seen, keep)
+            yield from handed_out({c: columns[c] for c in names} | {"x": lists(x), "p": lists(p), "ll": pa.array(ll)})
+
+    return placed.mapInArrow(run, T.StructType([*[ticks.schema[c] for c in names], T.StructField("x", numbers), T.StructField("p", numbers), T.StructField("ll", T.DoubleType())]))

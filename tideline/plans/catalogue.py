@@ -14,7 +14,7 @@ from tideline.functions import book
 from tideline.operators import bars as clocks
 from tideline.operators import calibration, cross, diagnostics, filters, models, recurrent, rolling, smoothing, trend_filters
 from tideline.operators.recurrent import scan
-from tideline.operators.side_by_side import ManyModels, UnscentedFilters, scan_prices
+from tideline.operators.side_by_side import ManyModels, UnscentedFilters, filter_long, scan_prices
 from tideline.plans import views
 from tideline.plans.frames import ln, ratio
 from tideline.plans.views import BARS, DAILY, LEVELS, TICKS, TRADES, USERS
@@ -512,7 +512,8 @@ add("stochastic_volatility", volatility_query, sql(f"{LOG_SQUARES}, {VOLATILITY_
 def venues_query(spark: SparkSession, sf: str) -> DataFrame:
     channel = F.array_position(F.array(*map(F.lit, TYPES)), C("symbol")).cast("int") - 1
     rows = views.ticks(spark, sf).select(F.lit("all").alias("symbol"), "ts_ns", "seq", F.create_map(channel, C("price")).alias("values"))
-    steps = filters.run_filter(rows, {"type": "multi-venue", "sigma_a": 1e-5, "tau": 3600.0, "sigma": 5.0, "variances": [400.0] * 5, "first": 50.0, "velocity_std": 1e-3})
+    model = models.build({"type": "multi-venue", "sigma_a": 1e-5, "tau": 3600.0, "sigma": 5.0, "variances": [400.0] * 5, "first": 50.0, "velocity_std": 1e-3})
+    steps = filter_long(rows, model)
     return out(steps.withColumn("price", F.get("x", 0)), ROW, ("price", "ll"))
 
 
